@@ -70,7 +70,7 @@ def bloom_size(n: Column) -> tuple[Column, Column]:
     """Bits (whole bytes) and hash functions of a Bloom filter for n keys."""
     raw = F.ceil(-n * math.log(BLOOM_FPP) / math.log(2) ** 2)
     bits = (F.ceil(raw / 8) * 8).cast("long")
-    return bits, F.round(raw / n * math.log(2)).cast("int")
+    return bits, F.round(bits / n * math.log(2)).cast("int")
 
 
 def _positions(key: Column, bits: Column, hashes: Column) -> Column:

@@ -244,7 +244,7 @@ def run_zone_map(spark: SparkSession, d: str) -> DataFrame:
     return shown(runs.zones(event_runs(spark, d)))
 
 
-@register("bloom_params", f"WITH RECURSIVE {RUNS}, n AS (SELECT run_id, count(*) AS n FROM rows_ GROUP BY run_id), m AS (SELECT *, ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS raw FROM n) SELECT run_id, n, CAST(ceil(raw / 8) * 8 AS BIGINT) AS bits, CAST(round(raw / n * ln(2)) AS INTEGER) AS hashes FROM m")
+@register("bloom_params", f"WITH RECURSIVE {RUNS}, n AS (SELECT run_id, count(*) AS n FROM rows_ GROUP BY run_id), m AS (SELECT *, ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS raw FROM n) SELECT run_id, n, CAST(ceil(raw / 8) * 8 AS BIGINT) AS bits, CAST(round(ceil(raw / 8) * 8 / n * ln(2)) AS INTEGER) AS hashes FROM m")
 def bloom_params(spark: SparkSession, d: str) -> DataFrame:
     n = event_runs(spark, d).groupBy("run_id").agg(F.count("*").alias("n"))
     bits, hashes = layout.bloom_size(F.col("n"))
