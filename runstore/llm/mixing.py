@@ -121,9 +121,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), fractio
     before = F.sum("mix_n").over(Window.partitionBy("source", "size").orderBy("mix_slice")) - F.col("mix_n")
     slices = counts.withColumn("mix_before", before).join(plans, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     slices = keep(slices.withColumn("mix_take", F.expr("least(greatest(mix_extra - mix_before, 0), mix_n)")).select("s", "z", F.col("mix_slice").alias("b"), "source_size", "target", "mix_copies", "mix_take"), "slices")
-    ranked = docs.withColumn("mix_rank", F.row_number().over(Window.partitionBy("source", "size", "mix_slice").orderBy("mix_hash", "doc_id")))
+    # The window's keys are the join's keys, without nulls, so that the texts are shuffled once for both.
+    docs_keyed = docs.withColumn("mix_null", F.isnull("source")).withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    ranked = docs_keyed.withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_null", "mix_source", "size", "mix_slice").orderBy("mix_hash", "doc_id")))
+    slices = slices.withColumn("s_null", F.isnull("s")).withColumn("s", F.coalesce(F.col("s").cast("string"), F.lit("")))
     own = [c for c in docs.columns if c not in ("source_size", "target", "copies", "taken", "mix_hash", "mix_slice")]
-    joined = ranked.drop("source_size", "target", "copies", "taken").join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("mix_slice") == F.col("b")))
+    joined = ranked.drop("source_size", "target", "copies", "taken").join(slices, (F.col("mix_null") == F.col("s_null")) & (F.col("mix_source") == F.col("s")) & (F.col("size") == F.col("z")) & (F.col("mix_slice") == F.col("b")))
     copies = F.expr("mix_copies + cast(mix_rank <= mix_take as int)")
     return joined.select(*own, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
