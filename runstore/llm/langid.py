@@ -133,7 +133,7 @@ def learn(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int =
     p[size] = 0
     for _ in range(rounds):
         expected = np.zeros((size + 1, langs))
-        for at, matrix in by_length(words):
+        for at, matrix in by_length(words, 4_000):  # the driver holds forward and backward sums of so many words
             found = spans(pieces, matrix)
             alpha, m = forward(found, p), matrix.shape[1]
             beta = [np.zeros_like(alpha[0]) for _ in range(m)] + [np.ones_like(alpha[0])]
