@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runstore.llm import decontam, jaccard, langid, mixing, sharding
 from runstore.llm.queries import SHARD_BYTES, vocabulary
-from runstore.llm.scratch import keep
+from runstore.llm.scratch import keep, passing
 
 #: Posterior below which no language counts as identified.
 LEAST_SCORE = 0.5
@@ -26,13 +26,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that of the smallest doc_id; of repeats of that id, one."""
-    groups = keep(jaccard.jaccard_components(docs), "components")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One row of each group: that of the smallest doc_id; of repeats of that id, one.
+
+    The decisions are a small table of the ids that need one; the texts are shuffled once, for the
+    anti-join with it, and those of repeated ids once more where there are any.
+    """
+    with passing(spark):
+        groups = jaccard.jaccard_components(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+        marks = groups.where("n > 1 or doc_id <> c").select("doc_id", F.expr("doc_id = c").alias("stays"))
+        marks = keep(marks, "marks", stay=True)
+    once = docs.join(marks, "doc_id", "left_anti").select(*docs.columns)
+    repeated = marks.where("stays").select("doc_id")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark remove a query's shuffle files at its end; older versions ignore it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _folders: dict[str, str] = {}
+_passing: list[list[str]] = []
 
 
 def _folder(spark: SparkSession) -> str:
@@ -33,9 +39,39 @@ def _remove(spark: SparkSession, folder: str) -> None:
         return
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return it as read from there."""
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables kept in this block at its end; none of its lazy results may be used later."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            _remove(spark, path)
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def keep(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return it as read from there.
+
+    With ``stay`` the table outlives a ``passing`` block.
+    """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    if _passing and not stay:
+        _passing[-1].append(path)
+    with _cleaning(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
