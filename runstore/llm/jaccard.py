@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import keep
-from .textkit import chunks, distinct_grams, mix, text_bytes
+from .textkit import distinct_grams, mix, slices, text_bytes, words_of
 
 SKETCH_BITS = 20  # counters of the rarity sketch: 4 MB whatever the corpus
 SKETCH_PARTS = 64
 WANTED_BITS = 23  # bits of the filter on classes to verify: 1 MB whatever the corpus
 MEETINGS = 0.25  # cost model: candidates to verify for each posting
+SET_BYTES = 1 << 18  # text whose sets are made at once
 LARGEST_LIGHT = 40  # sizes for which the boundary is searched
 
 _U = np.uint64
@@ -73,11 +74,12 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[range, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """rows, elements, offsets, sizes and class ids of each chunk."""
-    for words in chunks(text_bytes(batch.column("text"))):
-        h, off = distinct_grams(words, k)
+    texts = batch.column("text")
+    for rows in slices(texts, SET_BYTES):
+        h, off = distinct_grams(words_of(text_bytes(texts.slice(rows.start, len(rows)))), k)
         total = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mix(h ^ _U(0xA5A5A5A5A5A5A5A5)), dtype=_U)])
         n = np.diff(off)
-        yield words.rows, h, off, n, mix(total[off[1:]] - total[off[:-1]] + n.astype(_U)).view(np.int64)
+        yield rows, h, off, n, mix(total[off[1:]] - total[off[:-1]] + n.astype(_U)).view(np.int64)
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:

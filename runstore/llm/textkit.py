@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 _U = np.uint64
@@ -79,6 +80,17 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(column: pa.Array, size: int = CHUNK) -> Iterator[range]:
+    """Rows of about ``size`` bytes of text each, one row at least, so that a batch need not be unpacked whole."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin = 0
+    while begin < len(total):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + size, side="right")))
+        yield range(begin, end)
+        begin = end
+
+
 def words_of(texts: list[bytes], first_row: int = 0) -> Words:
     data = b" ".join(texts).translate(_LOWER)
     raw = np.frombuffer(data + b" ", dtype=np.uint8)
