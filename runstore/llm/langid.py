@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .textkit import _BASE, mix, words_of
+from .textkit import _BASE, mix, slices, words_of
 
 LONGEST = 160  # bytes of a word that are scored at once
 PIECE_BYTES = 16
+AT_ONCE = 40_000  # bytes of the words whose sums are held at once, some 8 MB of piece numbers
 SCALE = 24.0  # keeps the forward sums of long words within floating point
 UNSEEN = 1e-2  # pseudo-count of each piece
 _U = np.uint64
@@ -116,11 +117,11 @@ def forward(found: list[list[np.ndarray]], p: np.ndarray) -> list[np.ndarray]:
     return alpha
 
 
-def by_length(words: list[bytes], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index and byte matrix of the words of each length, at most ``most`` words at a time."""
+def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index and byte matrix of the words of each length, ``AT_ONCE`` bytes at a time."""
     lengths = np.array([len(w) for w in words])
     for m in np.unique(lengths):
-        at = np.flatnonzero(lengths == m)
+        at, most = np.flatnonzero(lengths == m), max(1, AT_ONCE // max(1, int(m)))
         for i in range(0, len(at), most):
             part = at[i : i + most]
             yield part, np.frombuffer(b"".join(words[j] for j in part), dtype=np.uint8).reshape(len(part), m)
@@ -133,7 +134,7 @@ def learn(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int =
     p[size] = 0
     for _ in range(rounds):
         expected = np.zeros((size + 1, langs))
-        for at, matrix in by_length(words, 4_000):  # the driver holds forward and backward sums of so many words
+        for at, matrix in by_length(words):
             found = spans(pieces, matrix)
             alpha, m = forward(found, p), matrix.shape[1]
             beta = [np.zeros_like(alpha[0]) for _ in range(m)] + [np.ones_like(alpha[0])]
@@ -173,11 +174,13 @@ def score_texts(pieces: Pieces, p: np.ndarray, texts: list[str | None]) -> np.nd
     for end in range(len(texts) + 1):
         if end == len(texts) or held > 2 * textkit.CHUNK:
             if begin < end:
-                words = words_of(prepared[begin:end])
-                _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+                held_words = list(textkit.chunks(prepared[begin:end], textkit.CHUNK // 4))
+                ends = np.cumsum([0, *(len(x.hashes) for x in held_words)])
+                bounds = np.concatenate([*(x.first[:-1] + e for x, e in zip(held_words, ends)), ends[-1:]])
+                _, first, inverse = np.unique(np.concatenate([x.hashes for x in held_words]), return_index=True, return_inverse=True)
                 kinds, owner = [], []
-                for k, i in enumerate(first):
-                    for part in _parts(_marked(words, i)):
+                for k, (i, j) in enumerate(zip(first, np.searchsorted(ends, first, side="right") - 1)):
+                    for part in _parts(_marked(held_words[j], i - ends[j])):
                         kinds.append(part)
                         owner.append(k)
                 log = np.zeros((len(first), p.shape[1]))
@@ -186,7 +189,7 @@ def score_texts(pieces: Pieces, p: np.ndarray, texts: list[str | None]) -> np.nd
                     last = forward(spans(pieces, matrix), p)[-1]
                     np.add.at(log, of[at], np.log(np.maximum(last, 1e-300)) - matrix.shape[1] * math.log(SCALE))
                 total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(log[inverse], axis=0)])
-                out[begin:end] = total[words.first[1:]] - total[words.first[:-1]]
+                out[begin:end] = total[bounds[1:]] - total[bounds[:-1]]
             begin, held = end, 0
         if end < len(texts):
             held += len(prepared[end])
@@ -212,10 +215,9 @@ def train(docs: DataFrame, vocabulary: str, sample_docs: int = 1000) -> tuple[li
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, names = _prepared(batch.column("text").to_pylist()), batch.column("lang").to_pylist()
             kinds: dict[tuple[str, bytes], int] = {}
-            for text, lang in zip(texts, names):
-                words = words_of([text])
+            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+                words = words_of(_prepared([text.as_py()]))
                 for i in range(len(words.starts)):
                     for part in _parts(_marked(words, i)):
                         kinds[lang, part] = kinds.get((lang, part), 0) + 1
@@ -262,8 +264,11 @@ def identify(docs: DataFrame, vocabulary: str, sample_docs: int = 1000) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictor(vocabulary, langs, model)
         for batch in batches:
-            lang, score = predict(batch.column(text_at).cast(pa.string()).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            texts = batch.column(text_at).cast(pa.string())
+            for rows in slices(texts, 2 * textkit.CHUNK):
+                lang, score = predict(texts.slice(rows.start, len(rows)).to_pylist())
+                part = batch.slice(rows.start, len(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     return docs.mapInArrow(run, schema)
