@@ -236,6 +236,19 @@ def test_lm_is_a_distribution_and_windows_agree():
     assert len(row) == 100 and math.isclose(plain, lm.log10_texts(model, long, np.array([0, 100]))[0], rel_tol=1e-4)
 
 
+def test_lm_learns_from_documents_outside_the_sample(spark):
+    """Corpora with equal counts that differ only in the order of words, none of it in the sample."""
+    rng = random.Random(3)
+    phrase = "the cat sat on a red mat by that old door".split()
+    mixed = lambda n: [w for _ in range(n) for w in rng.sample(phrase, len(phrase))]
+    scores = []
+    for make in (lambda n: phrase * n, mixed):
+        rows = [(i, " ".join(make(60))) for i in range(300)] + [(1000, " ".join(phrase * 20))]
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), VOCABULARY, train_docs=0).where("doc_id = 1000").first()
+        scores.append(got["score"] / got["n_tokens"])
+    assert scores[0] > scores[1] + 0.02
+
+
 def test_chaining(spark, docs, empty):
     rng = random.Random(8)
     text = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
