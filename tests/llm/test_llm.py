@@ -264,6 +264,25 @@ def test_chaining(spark, docs, empty):
     assert chaining.repeated_passages(empty).count() == 0
 
 
+def test_chaining_finds_fuzzy_passages(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    ends, often = text(60), text(60)
+    changed = [w if i not in (7, 52) else f"new{i}" for i, w in enumerate(ends)]
+    every = [w if i % 15 != 7 else f"new{i}" for i, w in enumerate(often)]
+    rows = [(1, text(40) + ends + text(40)), (2, text(40) + changed + text(40)), (3, text(40) + often + text(40)), (4, text(40) + every + text(40))]
+    got = chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["begin_word"], r["end_word"], r["homes"]) for r in got} == {2: (40, 100, [1]), 4: (40, 100, [3])}
+    assert {r["doc_id"]: round(r["aligned"] * 60) for r in got} == {2: 58, 4: 56}
+    assert chaining.longest_parts([(0, 5, 5.0), (25, 85, 54.0), (105, 110, 5.0)], 50, 0.8) == [(25, 85, 54.0)]
+    assert chaining.longest_parts([(0, 60, 60.0), (80, 140, 60.0)], 50, 0.8) == [(0, 140, 120.0)]
+
+
+def test_chains_take_a_near_match_where_the_best_is_far():
+    x, y = np.array([0, 8, 16, 24, 90, 100]), np.array([0, 8, 16, 24, 30, 40])
+    assert [4, 5] in chaining.chains(x, y)
+
+
 def test_chains_and_edit_distance():
     x, y = np.array([0, 9, 20, 500]), np.array([5, 14, 26, 2])
     assert sorted(map(sorted, chaining.chains(x, y))) == [[0, 1, 2], [3]]
