@@ -6,9 +6,9 @@ aligned one after the other with the host's wrapper: equal parts meet, and a par
 side has becomes optional. There are no alternatives, so a wrapper is a sequence of tags, slots,
 repeated groups and optional parts. It grows with the number of different shapes, not of pages.
 
-Every slot of a wrapper is then labelled once: by the containers it stands in, and, where a host
-has no article container, by whether its text is the same on all pages. A page's text is that of
-its slots that carry content, read from the page by aligning its shape with the wrapper.
+A slot is labelled by the elements of its own page that it stands in. Where a page has no article
+container, the wrapper tells whether the slot's text is the same on all of the host's pages, found by
+aligning the page's shape with the wrapper. A page's text is that of its slots that carry content.
 
 Tasks fold their own pages first, so a host of any size is merged from a few partial wrappers.
 Wrappers are broadcast up to ``BROADCAST_BYTES`` in all; beyond, pages and wrappers are joined.
@@ -36,7 +36,13 @@ BROADCAST_BYTES = 8 << 20
 FOLD = 12  # longest group that folds
 CONSTANT_PAGES = 3  # pages on which a slot has the same text before it counts as template text
 # HTML's containers, its inline elements, and the names that mark other matter.
-CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure menu dialog body head fieldset details".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track".split())
+# Elements that end an open paragraph, and those that end an open sibling, as far as the nearest of the others.
+AFTER_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section table ul".split())
+_LISTS, _CELLS = frozenset("ul ol menu".split()), frozenset("td th".split())
+SIBLINGS = {"li": (frozenset(["li"]), _LISTS), **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(["dl"])))}
+SIBLINGS |= {"tr": (frozenset(["tr"]), frozenset(["table"])), **dict.fromkeys(_CELLS, (_CELLS, frozenset(("tr", "table")))), "option": (frozenset(["option"]), frozenset(["select"]))}
+SIBLINGS |= dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset(("thead", "tbody", "tfoot")), frozenset(["table"])))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OTHER_TAGS = frozenset("nav footer aside form menu dialog head button select".split())
 OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu sidebar footer header masthead comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe signup breadcrumb breadcrumbs popup modal overlay widget widgets skip toolbar pagination pager login search".split())
@@ -221,63 +227,69 @@ def page_wrapper(nodes: list[Node], texts: list[str]) -> Wrapper:
     return Wrapper(shape(nodes), [False] * len(nodes), same)
 
 
-def labels(wrapper: Wrapper) -> list[list[bool]]:
-    """For each key of the wrapper, whether each of its slots (in order) carries content."""
+def contained(symbols: list[str]) -> list[tuple[bool, bool]]:
+    """For each symbol, whether it stands in other matter, and whether in an article container.
+
+    Every element is ended by its own closing tag, by that of an element around it, or by a tag that
+    ends it in browsers.
+    """
     stack: list[tuple[str, bool, bool]] = []
-    slots: list[list[tuple[bool, bool, int]]] = []
-    for place, key in enumerate(wrapper.keys):
-        own = []
-        for symbol in key.replace("(", " ").replace(")+", " ").split():
-            if symbol == "T":
-                other = any(x[1] for x in stack)
-                main = any(x[2] for x in stack)
-                own.append((other, main, place if key == "T" else -1))
-                continue
-            name, *marks = symbol.lstrip("/").split(".")
-            if name not in CONTAINERS and not (OTHER_NAMES & {*marks}):
-                continue
-            if symbol.startswith("/"):
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            else:
-                inside = any(x[2] for x in stack)
+    count: dict[str, int] = {}
+    out = []
+
+    def close(names: frozenset[str], until: frozenset[str]) -> None:
+        if any(count.get(x) for x in names):
+            for at in range(len(stack) - 1, -1, -1):
+                if stack[at][0] in names:
+                    for x, *_ in stack[at:]:
+                        count[x] -= 1
+                    del stack[at:]
+                    return
+                if stack[at][0] in until:
+                    return
+
+    for symbol in symbols:
+        name, *marks = symbol.lstrip("/").split(".")
+        if symbol.startswith("/"):
+            close(frozenset([name]), _LISTS if name == "li" else frozenset())
+        elif symbol != "T":
+            if stack and stack[-1][0] == "head" and name not in VOID:
+                close(frozenset(["head"]), frozenset())
+            if name in AFTER_P:
+                close(frozenset(["p"]), frozenset(["button", "table", *_CELLS]))
+            if name in SIBLINGS:
+                close(*SIBLINGS[name])
+            if name not in VOID:
+                _, around, inside = stack[-1] if stack else ("", False, False)
                 main = name in ("article", "main") or bool(MAIN_NAMES & {*marks})
                 named = OTHER_NAMES & {*marks} - ({"header"} if inside else set())
                 other = name in OTHER_TAGS or (name == "header" and not inside) or (bool(named) and name not in ("body", "html", "article", "main"))
-                stack.append((name, other, main))
-        slots.append(own)
-    has_main = any(m and not o for own in slots for o, m, _ in own)
+                stack.append((name, around or other, inside or main))
+                count[name] = count.get(name, 0) + 1
+        out.append(stack[-1][1:] if stack else (False, False))
+    return out
 
-    def content(other: bool, main: bool, place: int) -> bool:
-        if other or has_main:
-            return main and not other
-        text, pages = wrapper.same.get(place, (None, 0))
-        return text is None or pages < CONSTANT_PAGES
 
-    return [[content(*x) for x in own] for own in slots]
+def constant(wrapper: Wrapper, keys: list[str]) -> list[int]:
+    """Places of a page's shape whose slots have the same text on all pages, on enough of them."""
+    where = dict((b, a) for a, b in common(wrapper.keys, keys))
+    found = {k: wrapper.same.get(where[k], (None, 0)) for k in where}
+    return [k for k, (text, pages) in found.items() if text is not None and pages >= CONSTANT_PAGES]
 
 
 def page_text(html: str | None, wrapper: Wrapper | None, known: dict) -> str:
-    """A page's content, block by block; ``known`` keeps the labels of each shape of a host."""
+    """A page's content, block by block; ``known`` keeps the constant places of each shape of a host."""
     symbols, texts = tokens(html)
-    nodes = fold(symbols)
-    keys = tuple(shape(nodes))
-    if keys not in known:
-        if wrapper is None:
-            wrapper = page_wrapper(nodes, texts)
-        of, where = labels(wrapper), dict((b, a) for a, b in common(wrapper.keys, list(keys)))
-        alone = labels(page_wrapper(nodes, texts))
-        known[keys] = [of[where[k]] if k in where else alone[k] for k in range(len(keys))]
-    use = []
-    for node, marks in zip(nodes, known[keys]):
-        slot = 0
-        for leaf in node.leaves():
-            if leaf.key == "T":
-                if marks[slot]:
-                    use += leaf.at
-                slot += 1
-    found = (" ".join(entities.unescape(texts[i]).split()) for i in sorted(use))
+    inside = contained(symbols)
+    use = [i for i, x in enumerate(symbols) if x == "T" and inside[i] == (False, True)]
+    if not use:
+        nodes = fold(symbols)
+        keys = tuple(shape(nodes))
+        if keys not in known:
+            known[keys] = constant(wrapper, list(keys)) if wrapper else []
+        template = {nodes[k].at[0] for k in known[keys]}
+        use = [i for i, x in enumerate(symbols) if x == "T" and inside[i] == (False, False) and i not in template]
+    found = (" ".join(entities.unescape(texts[i]).split()) for i in use)
     return " ".join(x for x in found if x)
 
 

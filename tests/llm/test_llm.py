@@ -346,6 +346,15 @@ def test_wrappers(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrappers_end_marked_elements(spark):
+    one = "<article><p>a</p>{}<p>b</p><ul><li class='share'>s<li>c</ul></article>"
+    marked = ["<p class='notice'>n</p>", "<h2 class='related'>r</h2>", "<img class='banner'>", "<p class='notice'>n", ""]
+    rows = [(i, f"https://a.example/{i}", one.format(x)) for i, x in enumerate(marked)]
+    rows += [(10, "https://b.example/1", "<main><div class='ad'>buy</div><p>d</p><hr></main>"), (11, "https://b.example/2", "<main><div>e</div><p>f</p></main>"), (12, "https://b.example/3", "<div><p>g</p></div>")]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {**dict.fromkeys(range(5), "a b c"), 10: "d", 11: "e f", 12: "g"}
+
+
 def test_wrapper_inference():
     read = lambda s: wrappers.fold(s.split())
     assert wrappers.shape(read("ul li T /li li T /li li T /li /ul")) == ["ul", "(li T /li)+", "/ul"]
