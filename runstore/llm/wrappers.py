@@ -20,6 +20,7 @@ pages give repeated rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -34,7 +35,7 @@ from .scratch import keep
 
 BROADCAST_BYTES = 8 << 20
 FOLD = 12  # longest group that folds
-CONSTANT_PAGES = 3  # pages on which a slot has the same text before it counts as template text
+CONSTANT_PAGES = 3  # different pages on which a slot has the same text before it counts as template text
 # HTML's containers, its inline elements, and the names that mark other matter.
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 # Elements that end an open paragraph, and those that end an open sibling, as far as the nearest of the others.
@@ -174,13 +175,13 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Wrapper:
     """Keys in order, which are optional, the pages behind it, and each slot's constant text.
 
-    ``same`` maps a top-level slot's place to a pair: its text (None once two pages differ) and
-    the number of pages that have it.
+    ``same`` maps a top-level slot's place to a pair: a digest of its whole text (None once two
+    pages differ) and the digests of up to ``CONSTANT_PAGES`` different pages that have it.
     """
 
     keys: list[str]
     optional: list[bool]
-    same: dict[int, tuple[str | None, int]]
+    same: dict[int, tuple[str | None, list[str]]]
 
     def merged(self, other: "Wrapper") -> "Wrapper":
         """The alignment of both: what only one side has becomes optional."""
@@ -203,7 +204,7 @@ class Wrapper:
             if p < len(self.keys):
                 a, b = self.same.get(p), other.same.get(q)
                 if a and b:
-                    same[len(keys)] = (a[0] if a[0] == b[0] else None, a[1] + b[1])
+                    same[len(keys)] = (a[0], sorted({*a[1], *b[1]})[:CONSTANT_PAGES]) if a[0] == b[0] and a[0] is not None else (None, [])
                 keys.append(self.keys[p])
                 optional.append(self.optional[p] or other.optional[q])
                 i, j = p + 1, q + 1
@@ -222,8 +223,15 @@ class Wrapper:
         return Wrapper(keys, optional, {k: (t, n) for k, t, n in same})
 
 
+def digest(*texts: str) -> str:
+    """A 128-bit hash and the length of texts with one space between words."""
+    data = "\0".join(" ".join(x.split()) for x in texts).encode("utf-8", "surrogatepass")
+    return f"{hashlib.blake2b(data, digest_size=16).hexdigest()}{len(data)}"
+
+
 def page_wrapper(nodes: list[Node], texts: list[str]) -> Wrapper:
-    same = {k: (" ".join(texts[x.at[0]].split())[:200], 1) for k, x in enumerate(nodes) if x.key == "T"}
+    page = digest(*texts, *shape(nodes))
+    same = {k: (digest(texts[x.at[0]]), [page]) for k, x in enumerate(nodes) if x.key == "T"}
     return Wrapper(shape(nodes), [False] * len(nodes), same)
 
 
@@ -271,10 +279,10 @@ def contained(symbols: list[str]) -> list[tuple[bool, bool]]:
 
 
 def constant(wrapper: Wrapper, keys: list[str]) -> list[int]:
-    """Places of a page's shape whose slots have the same text on all pages, on enough of them."""
+    """Places of a page's shape whose slots have the same text on all pages, on enough different ones."""
     where = dict((b, a) for a, b in common(wrapper.keys, keys))
-    found = {k: wrapper.same.get(where[k], (None, 0)) for k in where}
-    return [k for k, (text, pages) in found.items() if text is not None and pages >= CONSTANT_PAGES]
+    found = {k: wrapper.same.get(where[k], (None, [])) for k in where}
+    return [k for k, (text, pages) in found.items() if text is not None and len(pages) >= CONSTANT_PAGES]
 
 
 def page_text(html: str | None, wrapper: Wrapper | None, known: dict) -> str:

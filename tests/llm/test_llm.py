@@ -355,6 +355,16 @@ def test_wrappers_end_marked_elements(spark):
     assert {r["page_id"]: r["text"] for r in got} == {**dict.fromkeys(range(5), "a b c"), 10: "d", 11: "e f", 12: "g"}
 
 
+def test_wrappers_compare_whole_texts_of_different_pages(spark):
+    lead = "word " * 60
+    rows = [(i, f"https://a.example/{i}", f"<p>{lead}end {i}</p>") for i in range(4)]
+    rows += [(10 + i, f"https://b.example/{i}", "<p>copy</p>") for i in range(5)]
+    rows += [(20 + i, f"https://c.example/{i}", f"<div>menu of all</div><p>text {i}</p>") for i in range(3)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text == {**{i: f"{lead}end {i}" for i in range(4)}, **{10 + i: "copy" for i in range(5)}, **{20 + i: f"text {i}" for i in range(3)}}
+
+
 def test_wrapper_inference():
     read = lambda s: wrappers.fold(s.split())
     assert wrappers.shape(read("ul li T /li li T /li li T /li /ul")) == ["ul", "(li T /li)+", "/ul"]
