@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised, and known licence sentences map to an
-identifier. Sentences that only look like licence talk become ``UNKNOWN``. The sequence of
+A text is cut into paragraphs and sentences, each is normalised with its line ends, and known licence
+sentences map to an identifier. They begin with a line and may wrap over several. Other lines that only look like licence talk become ``UNKNOWN``. The sequence of
 identifiers of a document is then read from left to right against an ordered list of rules: at
 each place the first rule whose sequence matches consumes it and names a licence. Identifiers
 that no rule uses are counted as unmatched.
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 # Normalised sentence patterns and their identifiers, most specific first.
 SENTENCES: tuple[tuple[str, str], ...] = (
-    (r"(?:this \w+ is )?licensed under the apache license,? version (?P<v>\d(?:\.\d)?)", "ApacheVer:{v}"),
+    (r"(?:this \w+ is )?licensed under the apache license,? version (?P<v>\d(?:\.\d)?)(?: \(the [\"“”']*license[\"“”']*\))?", "ApacheVer:{v}"),
     (r"you may not use this file except in compliance with the license", "ApacheCompliance"),
     (r"you may obtain a copy of the license at .*apache\.org/licenses/license-2\.0.*", "ApacheURL"),
     (r"(?:this \w+ is )?(?:released|licensed|distributed) under the (?:terms of the )?mit license", "MITName"),
     (r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.*", "MITPermission"),
-    (r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "MITNotice"),
+    (r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software", "MITNotice"),
     (r"the software is provided \"?as is\"?, without warranty of any kind.*", "AsIsWarranty"),
-    (r"(?:this \w+ is )?(?:free software[;:,]? )?(?:released|licensed|distributed) under the (?:terms of the )?gnu (?P<k>lesser |affero )?general public license,?(?: as published by the free software foundation,?)?(?: (?:either )?(?:version|v) ?(?P<v>\d(?:\.\d)?))?(?P<p>,? or \(?at your option\)? any later version)?", "GPLVer:{k}:{v}:{p}"),
+    (r"(?:this \w+ is )?(?:free software[;:,]? )?(?:released|licensed|distributed) under the (?:terms of the )?gnu (?P<k>lesser |affero )?general public license,?(?: as published by the free software foundation,?)?(?: (?:either )?(?:version|v) ?(?P<v>\d(?:\.\d)?)(?: of the license)?)?(?P<p>,? or \(?at your option\)? any later version)?", "GPLVer:{k}:{v}:{p}"),
+    (r"(?:(?:this|the) \w+ is |[\w-]+ is )?free software[;:,]? you can redistribute it and/or modify it under the terms of the gnu (?P<k>lesser |library |affero )?general public license,? as published by the free software foundation[;,]? (?:either )?version (?P<v>\d(?:\.\d)?)(?: of the license)?(?P<p>,? or \(?at your option\)? any later version)?", "GPLVer:{k}:{v}:{p}"),
     (r"redistribution and use in source and binary forms,? with or without modification,? are permitted provided that the following conditions are met:?", "BSDPermission"),
     (r"redistributions of source code must retain the above copyright notice.*", "BSDSource"),
     (r"redistributions in binary form must reproduce the above copyright notice.*", "BSDBinary"),
@@ -46,7 +47,7 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     (r"spdx-license-identifier: (?P<s>[\w.+-]+)", "SPDX:{s}"),
 )
 # Words of which every known sentence has one; others cannot map to an identifier.
-TRIGGERS = ("licen", "permission", "copyright", "warranty", "redistribution", "neither the name", "public domain", "rights reserved", "(c)", "©")
+TRIGGERS = ("licen", "permission", "copyright", "warranty", "redistribution", "neither the name", "public domain", "rights reserved", "(c)", "©", "spdx", "free software", "cc by", "cc-by", "cc 0", "cc-0", "creative commons")
 # Ordered rules, a sequence of identifier patterns and the licence that it names.
 RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("ApacheVer:(.+)", "ApacheCompliance", "ApacheURL"), "Apache-{1}"),
@@ -61,6 +62,8 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("GPLVer::(.+):.+",), "GPL-{1}-or-later"),
     (("GPLVer:lesser :(.+):",), "LGPL-{1}-only"),
     (("GPLVer:lesser :(.+):.+",), "LGPL-{1}-or-later"),
+    (("GPLVer:library :(.+):",), "LGPL-{1}-only"),
+    (("GPLVer:library :(.+):.+",), "LGPL-{1}-or-later"),
     (("GPLVer:affero :(.+):",), "AGPL-{1}-only"),
     (("GPLVer:affero :(.+):.+",), "AGPL-{1}-or-later"),
     (("GPLVer:.*",), "GPL"),
@@ -72,14 +75,19 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("PublicDomain",), "public-domain"),
     (("AllRights",), "proprietary"),
 )
-_CUT = re.compile(r"(?<=[.!?;])\s+|[\n\r]+|(?<=[.!?])(?=$)")
+# Comment marks and list numbers before a line's words; a blank line between paragraphs, except before
+# an address; the end of a sentence, which no abbreviation and no clause of a known sentence is.
+_LEAD = re.compile(r"^[^\S\n]*(?:[#*/;>|%!\-]+[^\S\n]*|\.\.[^\S\n]+|dnl[^\S\n]+)*(?:(?:\(?\d{1,2}|\([abd-z]|[a-z])\)[^\S\n]+)?", re.M)
+_BREAK = re.compile(r"\n[^\S\n]*\n\s*+(?!<?https?:)")
+_CUT = re.compile(r"(?<=[.!?;])(?<![\s(][vV]\.)(?<![eE]\.g\.)(?<![iI]\.e\.)\s+(?!(?i:either\s+version|you\s+can\s+redistribute)\b)")
 _MARKS = re.compile(r"^[\s*#/\-;>|\"']+|[\s.!?;*#/|\"']+$")
+_GAP = r"\s"
 _TALK = re.compile(r"\blicen[sc]ed?\b|\bcopyright\b|\brights reserved\b|\bspdx\b")
 
 
 def normalise(sentence: str) -> str:
-    """Lower case, one space between words, licence spelt with s, no comment marks or end marks."""
-    sentence = re.sub(r"\s+", " ", sentence).strip().lower().replace("licence", "license").replace("licenced", "licensed")
+    """Lower case, one space or line end between words, licence spelt with s, no comment marks or end marks."""
+    sentence = re.sub(r"[^\S\n]+", " ", re.sub(r"\s*\n\s*", "\n", sentence)).strip().lower().replace("licence", "license").replace("licenced", "licensed")
     return _MARKS.sub("", sentence)
 
 
@@ -92,7 +100,7 @@ class Recogniser:
 
     def _table(self, what: str) -> list:
         if what not in self._compiled:
-            self._compiled[what] = [(re.compile(p), i) for p, i in self.sentences] if what == "sentences" else [([re.compile(p) for p in ps], i) for ps, i in self.rules] if what == "rules" else re.compile("|".join(map(re.escape, self.triggers)))
+            self._compiled[what] = [(re.compile(f"(?:{p.replace(' ', _GAP)})(?=[\\s.!?;:,*#/|\"']*(?:\\n|\\Z))", re.S), i) for p, i in self.sentences] if what == "sentences" else [([re.compile(p) for p in ps], i) for ps, i in self.rules] if what == "rules" else re.compile("|".join(re.escape(x).replace("\\ ", r"[\s*#/;>|%!\-]+") for x in self.triggers))
         return self._compiled[what]
 
     def __getstate__(self):
@@ -102,12 +110,25 @@ class Recogniser:
         for k, v in state.items():
             object.__setattr__(self, k, v)
 
-    def identify(self, sentence: str) -> str | None:
-        """The identifier of a normalised sentence, ``UNKNOWN`` for other licence talk, else None."""
-        for pattern, name in self._table("sentences"):
-            if m := pattern.fullmatch(sentence):
-                return name.format(**{k: v or "" for k, v in m.groupdict().items()})
-        return "UNKNOWN" if _TALK.search(sentence) else None
+    def identify(self, sentence: str) -> list[str]:
+        """Identifiers of a normalised sentence: of the known ones that begin with its lines, and
+        ``UNKNOWN`` for each other line of licence talk."""
+        out, at = [], 0
+        while at < len(sentence):
+            for pattern, name in self._table("sentences"):
+                if m := pattern.match(sentence, at):
+                    out.append(name.format(**{k: re.sub(r"\s", " ", v or "") for k, v in m.groupdict().items()}))
+                    at = m.end()
+                    break
+            else:
+                end = sentence.find("\n", at)
+                end = len(sentence) if end < 0 else end
+                if _TALK.search(sentence, at, end):
+                    out.append("UNKNOWN")
+                at = end
+            end = sentence.find("\n", at)
+            at = len(sentence) if end < 0 else end + 1
+        return out
 
     def sequence(self, text: str | None) -> list[str]:
         """The identifiers of a text's sentences, in order."""
@@ -115,10 +136,10 @@ class Recogniser:
         if not text or not trigger.search(text.lower().replace("licence", "license")):
             return []
         out = []
-        for sentence in _CUT.split(text):
-            if trigger.search(low := sentence.lower()) or "licence" in low:
-                if (found := self.identify(normalise(sentence))) is not None:
-                    out.append(found)
+        for paragraph in _BREAK.split(_LEAD.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))):
+            for sentence in _CUT.split(paragraph):
+                if trigger.search(low := sentence.lower()) or "licence" in low:
+                    out += self.identify(normalise(sentence))
         return out
 
     def match(self, ids: list[str]) -> tuple[list[str], int]:

@@ -380,3 +380,70 @@ def test_licences(spark, docs, rows, empty):
     assert got[951]["n_unmatched"] == 1 and got[952]["sentences"] == "UNKNOWN AllRights"
     assert all(got[r[0]]["licences"] == "" for r in rows)
     assert licences.scan(empty).count() == 0
+
+
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+""",
+    "Apache-2.0": """# Copyright 2020 Somebody
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# is distributed on an "AS IS" BASIS.
+""",
+    "GPL-3-or-later": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+""",
+    "GPL-2-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "CC-BY-4.0": "Released under CC BY 4.0.",
+    "CC-BY-SA-4.0": "A title without a stop\nDistributed under Creative Commons BY-SA 4.0\nmore text",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_standard_notices(name):
+    found = licences.Recogniser()
+    ids = found.sequence(NOTICES[name])
+    assert found.match(ids)[0] == [name]
+    if name == "Apache-2.0":
+        assert [x for x in ids if x != "UNKNOWN"] == ["ApacheVer:2.0", "ApacheCompliance", "ApacheURL"]
+    if name == "MIT":
+        assert found.sequence("Text.\n(c) Somebody.\nAll rights reserved") == ["AllRights"] and "MPLName" in found.sequence(NOTICES["MPL-2.0"].replace(", v.", ",\nv."))
+        assert ids.index("MITNotice") == ids.index("MITPermission") + 1 == ids.index("AsIsWarranty") - 1
