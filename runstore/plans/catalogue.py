@@ -169,6 +169,17 @@ _merge("merge_disjoint", tuple(f"run_id = 0 AND CAST(key AS INTEGER) % 3 = {i}"
 _merge("merge_overlapping", ("run_id = 0", "run_id = 1", "run_id = 2"))
 
 
+# Every run of the table: disjoint key ranges of its rows, and overlapping inputs by tier.
+_merge("merge_disjoint_all", ("CAST(key AS INTEGER) < 100", "CAST(key AS INTEGER) >= 100 AND CAST(key AS INTEGER) < 1000", "CAST(key AS INTEGER) >= 1000"))
+
+
+@register("merge_overlapping_all", f"WITH RECURSIVE {RUNS}, m AS (SELECT key, value FROM rows_) SELECT key, value, {POS.format('encode(key), encode(value)')} FROM m")
+def merge_overlapping_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_runs(spark, d)
+    tiered = rows.join(runs.tiers(rows, SEALED), "run_id")
+    return shown(read.merge(*[tiered.where(F.col("tier") == x) for x in ("mutable", "frozen", "l0")]), "key", "value")
+
+
 @register("merge_two_way", f"WITH RECURSIVE {RUNS}, m AS (SELECT key, value FROM rows_ JOIN tier USING (run_id) WHERE tier <> 'frozen') SELECT key, value, {POS.format('encode(key), encode(value)')} FROM m")
 def merge_two_way(spark: SparkSession, d: str) -> DataFrame:
     rows = event_runs(spark, d)

@@ -108,3 +108,12 @@ def test_random_logs_equal_a_dict(spark):
         rows = runs.collapse(runs.seal(mutations.accept(log(spark, *ops)).repartition(3), limit))
         assert pairs(read.scan(rows)) == expected
         assert set(expected) <= set(pairs(read.scan_versions(rows)))
+
+
+def test_registered_merges_cover_all_runs(spark):
+    from runstore.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    rows = sorted((bytes(r["key"]).decode(), bytes(r["value"]).decode()) for r in catalogue.event_runs(spark, d).collect())
+    for name in ("merge_disjoint_all", "merge_overlapping_all"):
+        assert [(r["key"], r["value"]) for r in catalogue.queries()[name](spark, d).orderBy("pos").collect()] == rows
