@@ -2,8 +2,9 @@
 
 The documents of a source are counted by exact length. A target of T words over a source of S
 words takes every document floor(T/S) times; the remaining budget is fitted by length counts:
-first the same share of every length, then whole lengths from the longest, and the last
-``KNAPSACK`` words by a bounded-knapsack table over the lengths that are left. Of each length
+first the same share of every length, then whole lengths from the longest, and the last words, at
+least ``KNAPSACK`` and ``LONGEST`` times the longest length, by a bounded-knapsack table over the
+lengths that are left. A source of up to ``LONGEST`` lengths has all the rest in the table. Of each length
 the planned number of documents is chosen by a seeded hash, so reruns agree.
 
 Choosing never gathers a length in one task: the hash is dealt into ``SLICES`` slices, slices
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
-KNAPSACK = 4096
+KNAPSACK, LONGEST = 4096, 64
 SLICES = 256
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -81,13 +82,14 @@ def fit(lengths: list[int], counts: list[int], target: float, most: int) -> tupl
     extra = [b * budget // total if a and total else 0 for a, b in zip(lengths, counts)]
     left = budget - sum(a * e for a, e in zip(lengths, extra))
     order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: -lengths[i])
+    table = max(KNAPSACK, LONGEST * max(lengths, default=0))
     for i in order:
-        if left > KNAPSACK:
-            more = min(counts[i] - extra[i], (left - KNAPSACK) // lengths[i] + 1, left // lengths[i])
+        if left > table:
+            more = min(counts[i] - extra[i], (left - table) // lengths[i] + 1, left // lengths[i])
             extra[i] += more
             left -= more * lengths[i]
     order = [i for i in order if counts[i] > extra[i]]
-    last = knapsack([lengths[i] for i in order], [counts[i] - extra[i] for i in order], min(left, KNAPSACK))
+    last = knapsack([lengths[i] for i in order], [counts[i] - extra[i] for i in order], min(left, table))
     for i in order:
         extra[i] += last.get(lengths[i], 0)
     return copies, extra

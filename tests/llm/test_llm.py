@@ -202,6 +202,10 @@ def test_mixing_parts():
         assert all(found.get(a, 0) <= c for a, c in zip(lengths, counts))
 
 
+def test_mixing_fits_long_documents():
+    assert mixing.fit([9000, 6000, 5000], [1, 1, 1], 11000.0, 2) == (0, [0, 1, 1])
+
+
 def test_lm(docs, rows, empty):
     got = lm.score(docs, VOCABULARY).collect()
     assert len(got) == len(rows)
