@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
-from .textkit import Words, chunks, text_bytes, words_of
+from .scratch import bounded, keep
+from .textkit import Words, chunks, text_bytes, tidy, words_of
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -207,10 +207,11 @@ def indexes(benchmark: DataFrame) -> list:
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap, begin_word`` of every match."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, begin_word long"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = None
     for held in indexes(benchmark):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
@@ -228,9 +229,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    at = docs.columns.index("text")
+    at = bounded(docs).columns.index("text")
     for held in indexes(benchmark):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import keep
-from .textkit import distinct_grams, mix, slices, text_bytes, words_of
+from .scratch import bounded, keep
+from .textkit import distinct_grams, mix, slices, text_bytes, tidy, words_of
 
 SKETCH_BITS = 20  # counters of the rarity sketch: 4 MB whatever the corpus
 SKETCH_PARTS = 64
@@ -87,6 +87,7 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _profile(k: int) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         names = ["doc_id", "n", "cid", "part", "counts"]
@@ -126,6 +127,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 def _postings(k: int, percent: int, light: int, sketch) -> Callable:
     """(key, class, size, room): room is the most that sets meeting under the key can share."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_by, seen = sketch.value, set()
         for batch in batches:
@@ -162,6 +164,7 @@ def _postings(k: int, percent: int, light: int, sketch) -> Callable:
 def _wanted_sets(k: int, wanted) -> Callable:
     """(cid, items) of classes that pass the bit filter; a class once per task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
         for batch in batches:
@@ -176,6 +179,7 @@ def _wanted_sets(k: int, wanted) -> Callable:
 
 
 def _linked(percent: int) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -200,6 +204,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     filled = spark.sparkContext.broadcast(bits)
     sets = docs.select("text").mapInArrow(_wanted_sets(k, filled), "cid long, items binary")
     sets = keep(sets.groupBy("cid").agg(F.first("items").alias("items")), "sets")
+    filled.unpersist()
     x, y = sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
     return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links")
 
@@ -207,7 +212,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     profile = keep(docs.mapInArrow(_profile(k), "doc_id long, n int, cid long, part int, counts binary"), "profile")
     docs_of = profile.where("part is null").select("doc_id", "n", "cid")
     sketch = spark.sparkContext.broadcast(_sketch(profile))
@@ -216,6 +221,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     posts = docs.select("text").mapInArrow(_postings(k, percent, light, sketch), "key long, cid long, n int, room int")
     lists = keep(posts, "postings")
+    sketch.unpersist()
     heads = lists.groupBy("key").agg(F.max_by(F.struct("cid", "n", "room"), F.struct("room", "cid")).alias("h"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("key", F.col("h.cid").alias("hc"), F.col("h.n").alias("hn"), F.col("h.room").alias("hr"))
     lists = keep(lists.join(heads, "key"), "lists")  # only keys that different classes share
 

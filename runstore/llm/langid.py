@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .textkit import _BASE, mix, slices, words_of
+from .scratch import bounded
+from .textkit import _BASE, mix, slices, tidy, words_of
 
 LONGEST = 160  # bytes of a word that are scored at once
 PIECE_BYTES = 16
+TEXTS = 2 << 20  # bytes of texts whose distinct words are scored together
 AT_ONCE = 40_000  # bytes of the words whose sums are held at once, some 8 MB of piece numbers
 SCALE = 24.0  # keeps the forward sums of long words within floating point
 UNSEEN = 1e-2  # pseudo-count of each piece
@@ -172,9 +174,9 @@ def score_texts(pieces: Pieces, p: np.ndarray, texts: list[str | None]) -> np.nd
     prepared = _prepared(texts)
     begin = held = 0
     for end in range(len(texts) + 1):
-        if end == len(texts) or held > 2 * textkit.CHUNK:
+        if end == len(texts) or held > TEXTS:
             if begin < end:
-                held_words = list(textkit.chunks(prepared[begin:end], textkit.CHUNK // 4))
+                held_words = list(textkit.chunks(prepared[begin:end], textkit.CHUNK))
                 ends = np.cumsum([0, *(len(x.hashes) for x in held_words)])
                 bounds = np.concatenate([*(x.first[:-1] + e for x, e in zip(held_words, ends)), ends[-1:]])
                 _, first, inverse = np.unique(np.concatenate([x.hashes for x in held_words]), return_index=True, return_inverse=True)
@@ -213,6 +215,7 @@ def train(docs: DataFrame, vocabulary: str, sample_docs: int = 1000) -> tuple[li
     rate = F.element_at(F.create_map(*[F.lit(y) for x in langs for y in (x, min(1.0, sample_docs / sizes[x]))]), F.col("lang"))
     sample = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < rate)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds: dict[tuple[str, bytes], int] = {}
@@ -251,7 +254,7 @@ def _predictor(vocabulary: str, langs: list[str], model):
 
 def identify(docs: DataFrame, vocabulary: str, sample_docs: int = 1000) -> DataFrame:
     """``docs`` with ``held_out, lang_pred, score``, which replace columns of these names."""
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = bounded(docs.drop("held_out", "lang_pred", "score"))
     trained = train(docs, vocabulary, sample_docs)
     held_out = F.coalesce(F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"), F.lit(False))
     if trained is None:
@@ -261,11 +264,12 @@ def identify(docs: DataFrame, vocabulary: str, sample_docs: int = 1000) -> DataF
     docs = docs.withColumn("held_out", held_out)
     text_at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictor(vocabulary, langs, model)
         for batch in batches:
             texts = batch.column(text_at).cast(pa.string())
-            for rows in slices(texts, 2 * textkit.CHUNK):
+            for rows in slices(texts, TEXTS):
                 lang, score = predict(texts.slice(rows.start, len(rows)).to_pylist())
                 part = batch.slice(rows.start, len(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
