@@ -25,19 +25,28 @@ def sizes(mutations: DataFrame) -> DataFrame:
     return mutations.withColumn("size", (F.octet_length("key") + F.octet_length("value")).cast("long"))
 
 
-def judged(mutations: DataFrame) -> DataFrame:
+def judged(mutations: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """``accepted`` for each mutation: a delete needs a live key just before it.
 
     Refused deletes leave no trace, so the key's previous operation alone decides: the key is
-    dead if there was none or if it left an empty value.
+    dead if there was none or if it left an empty value. ``stored`` holds what was written before
+    (seq, key, value, all seqs lower): of the keys that the log deletes, its newest versions come first.
     """
+    if stored is None:
+        return mutations.withColumn("accepted", ~((F.col("op") == "delete") & _dead()))
+    deleted = mutations.where("op = 'delete'").select("key").distinct()
+    newest = stored.join(deleted, "key", "left_semi").groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    both = mutations.select("seq", "op", "key", "value").unionByName(newest.select("seq", F.lit("stored").alias("op"), "key", "value"))
+    return both.withColumn("accepted", ~((F.col("op") == "delete") & _dead())).where("op <> 'stored'")
+
+
+def _dead() -> Column:
     before = F.lag("value").over(Window.partitionBy("key").orderBy("seq"))
-    dead = F.octet_length(F.coalesce(before, F.lit(b""))) == 0
-    return mutations.withColumn("accepted", ~((F.col("op") == "delete") & dead))
+    return F.octet_length(F.coalesce(before, F.lit(b""))) == 0
 
 
-def accept(mutations: DataFrame) -> DataFrame:
-    return judged(mutations).where("accepted").drop("accepted")
+def accept(mutations: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    return judged(mutations, stored).where("accepted").drop("accepted")
 
 
 def oversize(mutations: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:

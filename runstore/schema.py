@@ -8,6 +8,7 @@ from dataclasses import dataclass
 MUTATION = "seq long, op string, key binary, value binary"
 RUN_ROW = "run_id long, key binary, value binary, seq long"
 
+SHARD_RUNS = 16  # runs that one task seals, where the number of shards goes by the log's size
 # Default options and format limits.
 RUN_BYTES = 2 << 20
 BLOCK_BYTES = 4096
@@ -21,8 +22,7 @@ PAIR_LIMIT = 65_531  # key and value bytes of one pair in strict mode
 class StoreOptions:
     path: str = "runs.db"
     run_bytes: int = RUN_BYTES
-    block_bytes: int = BLOCK_BYTES
-    block_cache: int = BLOCK_CACHE
-    sealed_runs: int = SEALED_RUNS
+    block_bytes: int = BLOCK_BYTES  # page size of the runs' files
+    sealed_runs: int = SEALED_RUNS  # runs in memory, the mutable one included, before the oldest is flushed
     strict_limits: bool = False
-    shards: int = 1
+    shards: int | None = None  # parts of a bulk log that are sealed side by side; None: by the log's size

@@ -2,7 +2,8 @@
 
 A run is written to a folder of its own, sorted by key and with a Bloom filter on it; then a new
 manifest, with the next number, makes it visible. Readers take the highest manifest, so a failed
-write leaves nothing that they see. All paths go through Hadoop's file systems.
+write leaves nothing that they see; ``vacuum`` removes what no manifest names. All paths go through
+Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runstore.functions.bounds import Bound, in_range
-from runstore.schema import BLOOM_FPP
+from runstore.schema import BLOCK_BYTES, BLOOM_FPP, RUN_BYTES, RUN_ROW
 
 ROW_GROUP = 8 << 20
+PAIR_BYTES = 48  # of a pair, by which a run's Bloom filter is sized
 
 
 class RunFolder:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, page_bytes: int = BLOCK_BYTES, row_group: int = ROW_GROUP):
+        self.spark, self.path, self.page_bytes, self.row_group = spark, path.rstrip("/"), page_bytes, row_group
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,32 +53,41 @@ class RunFolder:
         if not fs.rename(tmp, self._fs(f"{self.path}/manifest/{number:08d}.json")[1]):
             raise RuntimeError("another writer published this manifest")
 
-    def _written(self, run_rows: DataFrame, base: int) -> list[dict]:
+    def _written(self, run_rows: DataFrame, base: int, run_bytes: int) -> list[dict]:
         """Write each run of ``run_rows`` (run_id, key, value, seq) in a folder that no run has yet."""
-        n = run_rows.count()
-        if not n:
-            return []
         batch = f"{self.path}/runs/{base:08d}"
         rows = run_rows.withColumn("run_id", F.col("run_id") + base).repartition("run_id").sortWithinPartitions("run_id", "key")
-        writer = rows.withColumn("run", F.col("run_id")).write.mode("overwrite").partitionBy("run").option("parquet.block.size", ROW_GROUP)
-        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(n)).option("parquet.bloom.filter.fpp#key", str(BLOOM_FPP)).parquet(batch)
-        zones = self.spark.read.parquet(batch).groupBy("run_id").agg(F.hex(F.min("key")).alias("first_key"), F.hex(F.max("key")).alias("last_key"), F.count("*").alias("n_entries"), F.max("seq").alias("last_seq"))
-        return [r.asDict() | {"path": f"{batch}/run={r['run_id']}"} for r in zones.orderBy("run_id").collect()]
-
-    def append(self, run_rows: DataFrame) -> None:
+        writer = rows.withColumn("run", F.col("run_id")).write.mode("overwrite").partitionBy("run").option("parquet.block.size", self.row_group).option("parquet.page.size", self.page_bytes)
+        entries = max(64, run_bytes // PAIR_BYTES)
+        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(entries)).option("parquet.bloom.filter.fpp#key", str(BLOOM_FPP)).parquet(batch)
+        zones = self.spark.read.schema(RUN_ROW).parquet(batch).groupBy("run_id").agg(F.hex(F.min("key")).alias("first_key"), F.hex(F.max("key")).alias("last_key"), F.count("*").alias("n_entries"), F.max("seq").alias("last_seq"))
+        out = [r.asDict() | {"path": f"{batch}/run={r['run_id']}"} for r in zones.orderBy("run_id").collect()]
+        return [r | {"n_bytes": self.n_bytes(r)} for r in out]
+
+    def n_bytes(self, run: dict) -> int:
+        """Bytes of a run's files."""
+        fs, at = self._fs(run["path"])
+        return fs.getContentSummary(at).getLength()
+
+    def append(self, run_rows: DataFrame, run_bytes: int = RUN_BYTES) -> None:
         """Add the runs of ``run_rows``, newest last; empty runs vanish."""
         known = self.manifest()
-        new = self._written(run_rows, max((r["run_id"] for r in known), default=-1) + 1)
+        new = self._written(run_rows, self._next(known), run_bytes)
         if new:
             self._publish(known + new)
 
+    def _next(self, known: list[dict]) -> int:
+        """A run number above all that were ever written, so that no folder is used twice."""
+        fs, at = self._fs(f"{self.path}/runs")
+        named = [int(x.getPath().getName()) for x in fs.listStatus(at)] if fs.exists(at) else []
+        return max([-1, *named, *(r["run_id"] for r in known)]) + 1
+
     def read(self, lower: Bound = Bound.unbounded(), upper: Bound = Bound.unbounded()) -> DataFrame:
         """The rows of all runs that can hold keys within the bounds, filtered by them."""
         paths = [r["path"] for r in self.manifest() if self._meets(r, lower, upper)]
-        schema = "run_id long, key binary, value binary, seq long"
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths).where(in_range(F.col("key"), lower, upper))
+            return self.spark.createDataFrame([], RUN_ROW)
+        return self.spark.read.schema(RUN_ROW).parquet(*paths).where(in_range(F.col("key"), lower, upper))
 
     @staticmethod
     def _meets(run: dict, lower: Bound, upper: Bound) -> bool:
@@ -86,7 +97,40 @@ class RunFolder:
             return False
         return not (upper.kind != "unbounded" and (first > high or (first == high and upper.kind == "excluded")))
 
-    def compact(self, live: DataFrame) -> None:
-        """Replace all runs by one that holds ``live`` (key, value, seq); old files stay on disk."""
-        base = max((r["run_id"] for r in self.manifest()), default=-1) + 1
-        self._publish(self._written(live.select(F.lit(0).cast("long").alias("run_id"), "key", "value", "seq"), base))
+    def merge(self, runs: list[dict]) -> None:
+        """Replace ``runs`` by one run with each key's newest version; old files stay until ``vacuum``.
+
+        Delete markers go only where no other run could hold an older version.
+        """
+        known = self.manifest()
+        chosen = {r["run_id"] for r in runs}
+        rest = [r for r in known if r["run_id"] not in chosen]
+        if not chosen:
+            return
+        rows = self.spark.read.schema(RUN_ROW).parquet(*[r["path"] for r in known if r["run_id"] in chosen])
+        newest = rows.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+        if not rest:
+            newest = newest.where("octet_length(value) > 0")
+        total = sum(r["n_entries"] for r in known if r["run_id"] in chosen) * PAIR_BYTES
+        new = self._written(newest.select(F.lit(0).cast("long").alias("run_id"), "key", "value", "seq"), self._next(known), total)
+        self._publish(rest + new)
+
+    def vacuum(self) -> int:
+        """Remove run folders that the newest manifest does not name, and older manifests; their number.
+
+        No reader may still use an older manifest.
+        """
+        named = {r["path"] for r in self.manifest()}
+        fs, at = self._fs(f"{self.path}/runs")
+        gone = 0
+        for batch in fs.listStatus(at) if fs.exists(at) else []:
+            own = [x.getPath() for x in fs.listStatus(batch.getPath()) if x.isDirectory()]
+            kept = [x for x in own if f"{self.path}/runs/{batch.getPath().getName()}/{x.getName()}" in named]
+            for x in own:
+                if x not in kept:
+                    gone += bool(fs.delete(x, True))
+            if not kept:
+                fs.delete(batch.getPath(), True)
+        for number in self._numbers()[:-1]:
+            fs.delete(self._fs(f"{self.path}/manifest/{number:08d}.json")[1], False)
+        return gone
