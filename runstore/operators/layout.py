@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runstore.functions.codec import prefix_length
@@ -60,10 +61,16 @@ def overlap_with_first(packed: DataFrame) -> DataFrame:
 
 
 def locate_block(zones: DataFrame, keys: DataFrame) -> DataFrame:
-    """The last block of each run whose first key is at most the asked key (key)."""
-    asked = keys.select(F.col("key").alias("asked"))
-    hit = zones.join(F.broadcast(asked), F.col("first_key") <= F.col("asked"))
-    return hit.groupBy("run_id", "asked").agg(F.max("block_ix").alias("block_ix"))
+    """The last block of each run whose first key is at most the asked key (key): ``run_id, asked, block_ix``.
+
+    An as-of join: blocks and asked keys of a run lie in one order, in which every key takes the last
+    block before it. A key that is asked twice has one row.
+    """
+    runs = zones.select("run_id").distinct()
+    asked = keys.select(F.col("key").alias("asked")).distinct().crossJoin(runs).select("run_id", F.col("asked").alias("at"), F.lit(None).cast("int").alias("block"))
+    both = zones.select("run_id", F.col("first_key").alias("at"), F.col("block_ix").alias("block")).unionByName(asked)
+    last = F.last("block", True).over(Window.partitionBy("run_id").orderBy("at", F.isnull("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("block_ix", last).where("block is null and block_ix is not null").select("run_id", F.col("at").alias("asked"), "block_ix")
 
 
 def bloom_size(n: Column) -> tuple[Column, Column]:
@@ -73,26 +80,68 @@ def bloom_size(n: Column) -> tuple[Column, Column]:
     return bits, F.round(bits / n * math.log(2)).cast("int")
 
 
-def _positions(key: Column, bits: Column, hashes: Column) -> Column:
-    h = F.xxhash64(key)
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    steps = F.sequence(F.lit(0), hashes - 1)
-    return F.transform(steps, lambda i: (high + i.cast("long") * low).bitwiseAND(F.lit(0xFFFFFFFF)) % bits)
+def _positions(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+    """The bits of each hash (rows): two halves, the lower stepped by the number of the function."""
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    steps = np.arange(hashes, dtype=np.uint64)
+    return ((high[:, None] + steps * low[:, None]) & np.uint64(0xFFFFFFFF)) % np.uint64(bits)
+
+
+def _by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each run within a batch; runs lie together, in batches or across them."""
+    for batch in batches:
+        if batch.num_rows:
+            run_id = batch.column("run_id").to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(run_id)) + 1).tolist(), len(run_id)]
+            for begin, end in zip(edge, edge[1:]):
+                yield int(run_id[begin]), batch.slice(begin, end - begin)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, held = None, []
+
+    def filled() -> pa.RecordBatch:
+        h = np.concatenate(held)
+        bits = math.ceil(math.ceil(-len(h) * math.log(BLOOM_FPP) / math.log(2) ** 2) / 8) * 8
+        hashes = math.floor(bits / len(h) * math.log(2) + 0.5)
+        one = np.zeros(bits, dtype=np.uint8)
+        one[_positions(h, bits, hashes).ravel()] = 1
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits]), pa.array([hashes], pa.int32()), pa.array([np.packbits(one, bitorder="little").tobytes()], pa.binary())], names=["run_id", "bits", "hashes", "bitmap"])
+
+    for run_id, part in _by_run(batches):
+        if run_id != now:
+            if held:
+                yield filled()
+            now, held = run_id, []
+        held.append(part.column("h").to_numpy().view(np.uint64))
+    if held:
+        yield filled()
 
 
 def bloom_bits(run_rows: DataFrame) -> DataFrame:
-    """The set bits of each run's Bloom filter: ``run_id, bits, hashes, bit``."""
-    n = run_rows.groupBy("run_id").agg(F.count("*").alias("n"))
-    bits, hashes = bloom_size(F.col("n"))
-    params = n.select("run_id", bits.alias("bits"), hashes.alias("hashes"))
-    rows = run_rows.select("run_id", "key").join(params, "run_id")
-    return rows.select("run_id", "bits", "hashes", F.explode(_positions(F.col("key"), F.col("bits"), F.col("hashes"))).alias("bit")).distinct()
+    """Each run's Bloom filter: ``run_id, bits, hashes, bitmap``; a run, bounded in size, is one task's."""
+    keyed = run_rows.select("run_id", F.xxhash64("key").alias("h")).repartition("run_id").sortWithinPartitions("run_id")
+    return keyed.mapInArrow(_bitmaps, "run_id long, bits long, hashes int, bitmap binary")
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, have, hashes = None, None, 0
+    for run_id, part in _by_run(batches):
+        if run_id != now:
+            now, have = run_id, None
+        if part.column("bitmap")[0].is_valid:
+            have = np.unpackbits(np.frombuffer(part.column("bitmap")[0].as_buffer(), dtype=np.uint8), bitorder="little").astype(bool)
+            hashes, part = part.column("hashes")[0].as_py(), part.slice(1)
+        if have is not None and part.num_rows:
+            maybe = have[_positions(part.column("h").to_numpy().view(np.uint64), len(have), hashes)].all(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("run_id"), part.column("key"), pa.array(maybe)], names=["run_id", "key", "maybe"])
 
 
 def might_contain(bloom: DataFrame, keys: DataFrame) -> DataFrame:
-    """``run_id, key, maybe`` for each key of ``keys`` (run_id, key): false means surely absent."""
-    params = bloom.select("run_id", "bits", "hashes").distinct()
-    asked = keys.join(params, "run_id").select("run_id", "key", "hashes", F.explode(_positions(F.col("key"), F.col("bits"), F.col("hashes"))).alias("bit")).distinct()
-    total = asked.groupBy("run_id", "key").agg(F.count("*").alias("n"))
-    hit = asked.join(bloom.select("run_id", "bit"), ["run_id", "bit"], "left_semi").groupBy("run_id", "key").agg(F.count("*").alias("hit"))
-    return total.join(hit, ["run_id", "key"], "left").select("run_id", "key", (F.coalesce("hit", F.lit(0)) == F.col("n")).alias("maybe"))
+    """``run_id, key, maybe`` for each key of ``keys`` (run_id, key): false means surely absent.
+
+    A run's filter comes before its keys in one order; keys of runs without a filter have no row.
+    """
+    asked = keys.selectExpr("run_id", "1 as kind", "key", "xxhash64(key) as h", "cast(null as int) as hashes", "cast(null as binary) as bitmap")
+    both = bloom.selectExpr("run_id", "0 as kind", "cast(null as binary) as key", "0L as h", "hashes", "bitmap").unionByName(asked)
+    return both.repartition("run_id").sortWithinPartitions("run_id", "kind").mapInArrow(_probed, "run_id long, key binary, maybe boolean")

@@ -6,6 +6,9 @@ the type ``error`` a delete. Small run and block limits bring the sealing and pa
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,6 +54,18 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     return layout.pack_blocks(pages, BLOCK_LIMIT)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, else a temporary one, in local mode alone, removed at the end."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = tempfile.mkdtemp(prefix="runs-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
 def shown(df: DataFrame, *order: str) -> DataFrame:
     """Keys and values as text, and the place of each row in the given order."""
     if order:
@@ -165,16 +180,12 @@ def _merge(name: str, picks: tuple[str, ...]) -> None:
         return shown(read.merge(*[rows.where(p.replace("CAST(key AS INTEGER)", "user")) for p in picks]), "key", "value")
 
 
-_merge("merge_disjoint", tuple(f"run_id = 0 AND CAST(key AS INTEGER) % 3 = {i}" for i in range(3)))
-_merge("merge_overlapping", ("run_id = 0", "run_id = 1", "run_id = 2"))
-
-
 # Every run of the table: disjoint key ranges of its rows, and overlapping inputs by tier.
-_merge("merge_disjoint_all", ("CAST(key AS INTEGER) < 100", "CAST(key AS INTEGER) >= 100 AND CAST(key AS INTEGER) < 1000", "CAST(key AS INTEGER) >= 1000"))
+_merge("merge_disjoint", ("CAST(key AS INTEGER) < 100", "CAST(key AS INTEGER) >= 100 AND CAST(key AS INTEGER) < 1000", "CAST(key AS INTEGER) >= 1000"))
 
 
-@register("merge_overlapping_all", f"WITH RECURSIVE {RUNS}, m AS (SELECT key, value FROM rows_) SELECT key, value, {POS.format('encode(key), encode(value)')} FROM m")
-def merge_overlapping_all(spark: SparkSession, d: str) -> DataFrame:
+@register("merge_overlapping", f"WITH RECURSIVE {RUNS}, m AS (SELECT key, value FROM rows_) SELECT key, value, {POS.format('encode(key), encode(value)')} FROM m")
+def merge_overlapping(spark: SparkSession, d: str) -> DataFrame:
     rows = event_runs(spark, d)
     tiered = rows.join(runs.tiers(rows, SEALED), "run_id")
     return shown(read.merge(*[tiered.where(F.col("tier") == x) for x in ("mutable", "frozen", "l0")]), "key", "value")
@@ -203,6 +214,15 @@ def delete_accepted(spark: SparkSession, d: str) -> DataFrame:
     return shown(mutations.accept(events(spark, d)).where("op = 'delete'").select("seq", "key"))
 
 
+@register("delete_across_batches", f"WITH {ACC}, s AS (SELECT max(seq) // 2 AS s FROM ev) SELECT seq, key, accepted FROM judged, s WHERE del AND seq > s.s")
+def delete_across_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The log in two batches: deletes of the second meet what the first one stored."""
+    log = events(spark, d)
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    stored = mutations.accept(log.where(F.col("seq") <= half)).select("seq", "key", "value")
+    return shown(mutations.judged(log.where(F.col("seq") > half), stored).where("op = 'delete'").select("seq", "key", "accepted"))
+
+
 @register("fill_range", f"SELECT CAST(i AS VARCHAR) AS key, 'value@' || i AS value, {POS.format('encode(CAST(i AS VARCHAR))')} FROM range(1, 1001) t(i)")
 def fill_range(spark: SparkSession, d: str) -> DataFrame:
     return shown(mutations.fill(spark, 1, 1000).select("key", "value"), "key")
@@ -292,8 +312,7 @@ def as_of_snapshot(spark: SparkSession, d: str) -> DataFrame:
 @register("orders_kv_roundtrip", "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus || '|' || o_orderpriority AS value FROM orders")
 def orders_kv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.lit(0).cast("long").alias("run_id"), codec.text(F.col("o_orderkey")).alias("key"), codec.text(F.concat_ws("|", "o_orderstatus", "o_orderpriority")).alias("value"), F.col("o_orderkey").alias("seq"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='runs-')}"
-    folder = RunFolder(spark, f"{root.rstrip('/')}/orders-{uuid.uuid4().hex[:8]}")
+    folder = RunFolder(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex[:8]}")
     folder.append(orders)
     return shown(folder.read().select("key", "value"))
 
