@@ -25,10 +25,12 @@ def get(rows: DataFrame, key: bytes | str) -> DataFrame:
 def multi_get(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``key, value`` for each row of ``keys`` (key); the value is null where the key is absent.
 
-    Only the asked keys are looked up: a semi-join comes before the aggregate.
+    Only the asked keys are looked up: one join on the key, whose partitioning the aggregate takes over.
     """
-    wanted = rows.join(keys.select("key").distinct(), "key", "left_semi")
-    return keys.select("key").join(latest(wanted), "key", "left")
+    asked = keys.groupBy("key").agg(F.count("*").cast("int").alias("times"))
+    found = asked.join(rows.select("key", "value", "seq"), "key", "left").groupBy("key").agg(F.first("times").alias("times"), F.max_by("value", "seq").alias("value"))
+    live = F.when(F.octet_length("value") > 0, F.col("value"))
+    return found.select("key", live.alias("value"), F.explode(F.sequence(F.lit(1), "times")).alias("n")).drop("n")
 
 
 def scan(rows: DataFrame, lower: Bound = FREE, upper: Bound = FREE) -> DataFrame:

@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ordinals(sizes: np.ndarray, limit: int, held: int, ordinal: int) -> tuple[np.ndarray, int, int]:
+    """The run of each of one shard's next mutations; ``held`` bytes lie in the open run ``ordinal``.
+
+    One step for each run: running sums tell how many mutations still fit.
+    """
+    out, total, i = np.empty(len(sizes), dtype=np.int64), np.cumsum(sizes), 0
+    while i < len(sizes):
+        before = int(total[i - 1]) if i else 0
+        j = int(np.searchsorted(total, before + limit - held, side="right")) if held <= limit else i
+        j = max(i, j)
+        held += int(total[j - 1]) - before if j > i else 0
+        if j < len(sizes) and held == 0:  # the first pair of a run may be larger than the limit
+            held, j = int(sizes[j]), j + 1
+        out[i:j] = ordinal
+        if j < len(sizes) and held + int(sizes[j]) > limit:
+            held, ordinal = 0, ordinal + 1
+        i = j
+    return out, held, ordinal
+
+
 def _segments(limit: int, shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, ordinal = None, 0, 0
+        now, held, ordinal = None, 0, 0
         for batch in batches:
-            ids = []
-            for s, size in zip(batch.column("shard").to_pylist(), batch.column("size").to_pylist()):
-                if s != shard:
-                    shard, held, ordinal = s, 0, 0
-                if held > 0 and held + size > limit:
-                    held, ordinal = 0, ordinal + 1
-                held += size
-                ids.append(ordinal * shards + s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(batch.column(c) for c in ("seq", "op", "key", "value"))], names=["run_id", "seq", "op", "key", "value"])
+            shard, size = batch.column("shard").to_numpy(), batch.column("size").to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            ids = np.empty(len(shard), dtype=np.int64)
+            for begin, end in zip(edge, edge[1:]):
+                if begin < end:
+                    if shard[begin] != now:
+                        now, held, ordinal = shard[begin], 0, 0
+                    own, held, ordinal = _ordinals(size[begin:end], limit, held, ordinal)
+                    ids[begin:end] = own * shards + now
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(batch.column(c) for c in ("seq", "op", "key", "value"))], names=["run_id", "seq", "op", "key", "value"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,30 @@ def test_seal(spark, ops, limit, expected):
     assert [r["run_id"] for r in runs.seal(log(spark, *ops), limit).orderBy("seq").collect()] == expected
 
 
+def test_seal_in_pieces_equals_one_by_one():
+    rng = random.Random(9)
+    for _ in range(300):
+        sizes, limit = [rng.choice([0, 1, 2, 3, 9]) for _ in range(rng.randint(0, 30))], rng.randint(1, 12)
+        expected, held, ordinal = [], 0, 0
+        for size in sizes:
+            if held > 0 and held + size > limit:
+                held, ordinal = 0, ordinal + 1
+            held += size
+            expected.append(ordinal)
+        got, held, ordinal, cut = [], 0, 0, rng.randint(0, len(sizes))
+        for part in (sizes[:cut], sizes[cut:]):
+            out, held, ordinal = runs._ordinals(np.array(part, dtype=np.int64), limit, held, ordinal)
+            got += out.tolist()
+        assert got == expected
+
+
+def test_multi_get_keeps_repeated_and_missing_keys(spark):
+    ops = log(spark, ("a", "1"), ("b", "2"), ("b", None), ("a", "3"))
+    asked = spark.createDataFrame([(b"a",), (b"a",), (b"b",), (b"c",)], "key binary")
+    got = sorted((bytes(r["key"]), r["value"] and bytes(r["value"])) for r in read.multi_get(ops, asked).collect())
+    assert got == [(b"a", b"3"), (b"a", b"3"), (b"b", None), (b"c", None)]
+
+
 def test_versions_and_latest_disagree_where_they_should(spark):
     rows = spark.createDataFrame([(0, b"a", b"9", 0), (0, b"b", b"1", 1), (1, b"a", b"1", 2), (2, b"b", b"", 3)], "run_id long, key binary, value binary, seq long")
     assert pairs(read.scan_versions(rows)) == [("a", "1"), ("a", "9"), ("b", ""), ("b", "1")]
