@@ -1,12 +1,16 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
-Every document is cut into overlapping passages, wide enough that each item lies whole inside
-one of them; every passage is a query. The index holds the items' impacts, divided by what the
-item scores against itself, so one threshold fits long and short items. For each term it keeps
-the largest impact overall and in each block of ``BLOCK`` items. A passage is dropped when its
-terms' largest impacts cannot reach the threshold, and then each block whose block maxima
-cannot; in the blocks that are left every item gets its exact score, and all at or above the
-threshold are retrieved. These steps run for all passages of a chunk at once.
+Items of like length (to a power of two) form a group, so that one long item does not change how
+others are found. For each group a document is cut into overlapping passages, wide enough that each
+of the group's items lies whole inside one of them; every passage is a query. The index holds the
+items' impacts, divided by what the item scores against itself, so one threshold fits long and
+short items. For each term it keeps the largest impact overall and in each block of ``BLOCK`` items.
+
+A passage whose terms' largest impacts cannot reach the threshold is dropped, and then one of which no
+block's maxima can, for many passages at once. The others run block-max WAND: cursors on the terms' postings stand in item order,
+the pivot is the first item that the largest impacts up to it can lift over the threshold, the block
+maxima then either skip to the next block or let the item be scored. All items at or above the
+threshold are retrieved.
 
 A retrieved item counts when the passage also holds enough of its question and of its answer:
 the share of their word pairs found in the passage. The answer is the last sentence, or the
@@ -16,13 +20,16 @@ Items come in parts of at most ``PART_BYTES`` of text, each a pass over the docu
 is broadcast stays bounded; document frequencies always cover all items.
 
 Nulls and odd input: null or empty items and texts match nothing. Repeated items each match.
-Without items no document matches. Rows with a null doc_id are searched like any other. Ties
-between passages of equal score go to the first.
+Without items no document matches. Rows with a null doc_id are searched like any other. Very long
+texts are searched whole, passage by passage. Ties between passages of equal score go to the first.
+Columns of the input besides doc_id and text are ignored by ``contaminated`` and kept by
+``decontaminated``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,28 +42,37 @@ from .scratch import bounded, keep
 from .textkit import Words, chunks, text_bytes, tidy, words_of
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK, END = 16, 1 << 62
+CELLS = 1 << 20  # passages times blocks that are bounded at once
 PART_BYTES = 16 << 20
 _SENTENCE = re.compile(r"[.!?]\s+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 
 
+@dataclass
+class Group:
+    """Items of like length: postings and block maxima by term, as offsets into parallel arrays."""
+
+    longest: int
+    peak: np.ndarray  # largest impact of each term, 0 where the group has none
+    first: np.ndarray
+    item: np.ndarray
+    impact: np.ndarray
+    block_first: np.ndarray
+    block: np.ndarray
+    block_peak: np.ndarray
+
+
 @dataclass
 class Index:
-    """Postings by term, as offsets into parallel arrays; terms are sorted word hashes."""
+    """The groups over one sorted table of terms (word hashes)."""
 
     ids: list[int]
     terms: np.ndarray
-    peak: np.ndarray  # largest impact of each term
-    block_first: np.ndarray
-    block_at: np.ndarray
-    block_peak: np.ndarray
-    item_first: np.ndarray
-    item_at: np.ndarray
-    impact: np.ndarray
+    groups: list[Group]
     question: list[np.ndarray]  # word pairs of each item
     answer: list[np.ndarray]
-    longest: int
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -67,82 +83,146 @@ def pairs(h: np.ndarray) -> np.ndarray:
 def split_item(text: str, n: int) -> int:
     """Words of the question, of n words in all."""
     ends = [m.end() for m in _SENTENCE.finditer(text.rstrip())]
-    head = len(text[: ends[-1]].split()) if ends else 0
+    head = len(_WORD.findall(text[: ends[-1]])) if ends else 0
     return head if 0 < head < n else n - max(1, n // 4)
 
 
 def build(rows: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_len: float) -> Index:
     words = [words_of([t.encode()]) for _, t in rows]
-    term_of, item_of, impact, question, answer = [], [], [], [], []
+    all_terms = np.unique(np.concatenate([w.hashes for w in words]))
+    postings: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    question, answer, longest = [], [], {}
     for i, (w, (_, text)) in enumerate(zip(words, rows)):
         terms, tf = np.unique(w.hashes, return_counts=True)
         idf = np.log(1 + (n_items - (d := np.array([df[int(t)] for t in terms.view(np.int64)])) + 0.5) / (d + 0.5))
         score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w.hashes) / mean_len))
-        term_of.append(terms)
-        item_of.append(np.full(len(terms), i))
-        impact.append(score / score.sum())
+        size = len(w.hashes).bit_length()
+        longest[size] = max(longest.get(size, 0), len(w.hashes))
+        postings.setdefault(size, []).append((np.searchsorted(all_terms, terms), np.full(len(terms), i), score / score.sum()))
         cut = split_item(text, len(w.hashes))
         question.append(pairs(w.hashes[:cut]))
         answer.append(pairs(w.hashes[cut:]) if cut < len(w.hashes) else question[-1])
-    term, item, value = (np.concatenate(x) for x in (term_of, item_of, impact))
-    order = np.lexsort((item, term))
-    term, item, value = term[order], item[order], value[order]
-    terms, first = np.unique(term, return_index=True)
-    group = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)])
-    return Index([i for i, _ in rows], terms, np.maximum.reduceat(value, first), np.r_[np.searchsorted(group, first), len(group)], item[group] // BLOCK, np.maximum.reduceat(value, group), np.r_[first, len(term)], item, value, question, answer, max(len(w.hashes) for w in words))
-
-
-def _expand(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each term its postings: which input row, and the posting's place."""
-    n = first[term + 1] - first[term]
-    row = np.repeat(np.arange(len(term)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[term][row]
-
-
-def search(index: Index, words: Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    groups = []
+    for size, own in sorted(postings.items()):
+        term, item, value = (np.concatenate(x) for x in zip(*own))
+        order = np.lexsort((item, term))
+        term, item, value = term[order], item[order], value[order]
+        every = np.arange(len(all_terms) + 1)
+        peak = np.zeros(len(all_terms))
+        np.maximum.at(peak, term, value)
+        head = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)])
+        groups.append(Group(longest[size], peak, np.searchsorted(term, every), item, value, np.searchsorted(term[head], every), item[head] // BLOCK, np.maximum.reduceat(value, head)))
+    return Index([i for i, _ in rows], all_terms, groups, question, answer)
+
+
+def wand(group: Group, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+    """The items that score at least the threshold against a passage with these terms, and their scores."""
+    items, impacts, peaks, blocks, maxima, at, block_at = [], [], [], [], [], [], []
+    for t in terms:
+        a, b = int(group.first[t]), int(group.first[t + 1])
+        if a < b:
+            c, d = int(group.block_first[t]), int(group.block_first[t + 1])
+            items.append([*group.item[a:b].tolist(), END])
+            impacts.append(group.impact[a:b].tolist())
+            blocks.append([*group.block[c:d].tolist(), END])
+            maxima.append([*group.block_peak[c:d].tolist(), 0.0])
+            peaks.append(float(group.peak[t]))
+            at.append(0)
+            block_at.append(0)
+    least, found = threshold - 1e-9, []
+
+    def move(k: int, item: int) -> None:
+        own = items[k]
+        at[k] = bisect_left(own, item, at[k])
+
+    order = list(range(len(items)))
+    while order:
+        order.sort(key=lambda k: items[k][at[k]])
+        while order and items[order[-1]][at[order[-1]]] == END:
+            order.pop()
+        bound, pivot = 0.0, -1
+        for i, k in enumerate(order):
+            bound += peaks[k]
+            if bound >= least:
+                pivot = i
+                break
+        if pivot < 0:
+            break
+        item = items[order[pivot]][at[order[pivot]]]
+        while pivot + 1 < len(order) and items[order[pivot + 1]][at[order[pivot + 1]]] == item:
+            pivot += 1
+        block, bound = item // BLOCK, 0.0
+        for k in order[: pivot + 1]:
+            block_at[k] = bisect_left(blocks[k], block, block_at[k])
+            if blocks[k][block_at[k]] == block:
+                bound += maxima[k][block_at[k]]
+        if bound < least:  # no item of this block before the next cursor can do
+            after = (block + 1) * BLOCK
+            if pivot + 1 < len(order):
+                after = min(after, items[order[pivot + 1]][at[order[pivot + 1]]])
+            for k in order[: pivot + 1]:
+                move(k, after)
+        elif items[order[0]][at[order[0]]] == item:
+            score = sum(impacts[k][at[k]] for k in order[: pivot + 1])
+            if score >= least:
+                found.append((item, score))
+            for k in order[: pivot + 1]:
+                at[k] += 1
+        else:
+            for k in order[:pivot]:
+                if items[k][at[k]] < item:
+                    move(k, item)
+    return found
+
+
+def search(index: Index, words: Words, threshold: float) -> Iterator[tuple[int, int, int, float]]:
     """Begin and end word of each passage that retrieves an item, the item, and its score."""
-    step, width = index.longest, 2 * index.longest
-    counts, first = words.counts, words.first[:-1]
-    n = np.maximum(1, -(-(counts - width) // step) + 1) * (counts > 0)
-    owner = np.repeat(np.arange(len(counts)), n)
-    begin = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * step
-    end = np.minimum(begin + width, words.first[owner + 1])
-    nothing = (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0),)
     place = np.minimum(np.searchsorted(index.terms, words.hashes), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[place] == words.hashes)
-    if not len(known) or not len(begin):
-        return nothing
-    # Bound by all known words of a passage, repeats included, from running sums.
-    peaks = np.zeros(len(words.hashes) + 1)
-    peaks[known + 1] = index.peak[place[known]]
-    peaks = np.cumsum(peaks)
-    alive = np.flatnonzero(peaks[end] - peaks[begin] >= threshold)
-    if not len(alive):
-        return nothing
-    lo, hi = np.searchsorted(known, begin[alive]), np.searchsorted(known, end[alive])
-    passage = np.repeat(np.arange(len(alive)), hi - lo)
-    at = np.arange(len(passage)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[passage]
-    both = np.unique(passage * len(index.terms) + place[known[at]])
+    if not len(known):
+        return
+    counts, first = words.counts, words.first[:-1]
+    for group in index.groups:
+        step, width = group.longest, 2 * group.longest
+        # Bound by all known words of a passage, repeats included, from running sums.
+        peaks = np.zeros(len(words.hashes) + 1)
+        peaks[known + 1] = group.peak[place[known]]
+        peaks = np.cumsum(peaks)
+        n = np.maximum(1, -(-(counts - width) // step) + 1) * (counts > 0)
+        owner = np.repeat(np.arange(len(counts)), n)
+        begin = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * step
+        end = np.minimum(begin + width, words.first[owner + 1])
+        alive = np.flatnonzero(peaks[end] - peaks[begin] >= threshold - 1e-6)
+        # Slices of passages, so that the table of block bounds below stays small however many items there are.
+        blocks = int(group.block.max()) + 1 if len(group.block) else 1
+        for i in range(0, len(alive), max(1, CELLS // blocks)):
+            part = alive[i : i + max(1, CELLS // blocks)]
+            passage, term = _promising(index, group, known, place, begin[part], end[part], blocks, threshold)
+            head = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else passage
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(passage)]):
+                at = part[passage[a]]
+                for item, score in wand(group, term[a:b].tolist(), threshold):
+                    yield int(begin[at]), int(end[at]), item, score
+
+
+def _promising(index: Index, group: Group, known: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, blocks: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Passages, with each of their terms, of which some block's maxima reach the threshold."""
+    lo, n = np.searchsorted(known, begin), np.searchsorted(known, end)
+    n -= lo
+    passage = np.repeat(np.arange(len(begin)), n)
+    at = np.arange(len(passage)) - np.repeat(np.cumsum(n) - n, n) + lo[passage]
+    term = place[known[at]]
+    use = group.peak[term] > 0
+    both = np.unique(passage[use] * len(index.terms) + term[use])
     passage, term = both // len(index.terms), both % len(index.terms)
-    keep_ = np.bincount(passage, index.peak[term], minlength=len(alive)) >= threshold
-    use = keep_[passage]
-    passage, term = passage[use], term[use]
-    # Block bounds.
-    blocks = -(-len(index.ids) // BLOCK)
-    row, at = _expand(index.block_first, term)
-    cell = passage[row] * blocks + index.block_at[at]
-    bound = np.bincount(cell, index.block_peak[at], minlength=len(alive) * blocks) >= threshold
-    # Exact scores in the blocks that are left.
-    use = np.isin(passage, np.flatnonzero(bound.reshape(-1, blocks).any(axis=1)))
+    use = (np.bincount(passage, group.peak[term], minlength=len(begin)) >= threshold - 1e-9)[passage]
     passage, term = passage[use], term[use]
-    row, at = _expand(index.item_first, term)
-    use = bound[passage[row] * blocks + index.item_at[at] // BLOCK]
-    cell, value = passage[row][use] * len(index.ids) + index.item_at[at][use], index.impact[at][use]
-    cells, inverse = np.unique(cell, return_inverse=True)
-    score = np.bincount(inverse, value, minlength=len(cells))
-    hit = np.flatnonzero(score >= threshold - 1e-9)
-    who = alive[cells[hit] // len(index.ids)]
-    return begin[who], end[who], cells[hit] % len(index.ids), score[hit]
+    count = group.block_first[term + 1] - group.block_first[term]
+    row = np.repeat(np.arange(len(term)), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + group.block_first[term][row]
+    bound = np.bincount(passage[row] * blocks + group.block[at], group.block_peak[at], minlength=len(begin) * blocks)
+    use = (bound.reshape(-1, blocks) >= threshold - 1e-9).any(axis=1)[passage]
+    return passage[use], term[use]
 
 
 @dataclass(frozen=True)
@@ -157,7 +237,7 @@ class Rule:
 def matches(index: Index, words: Words, rule: Rule) -> dict[tuple[int, int], tuple[float, float, float, int]]:
     """(row, item place) -> score, question and answer overlap, begin word within the text."""
     out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    for b, e, item, score in zip(*search(index, words, rule.threshold)):
+    for b, e, item, score in search(index, words, rule.threshold):
         have = pairs(words.hashes[b:e]) if e - b > 1 else words.hashes[b:e]
         single = words.hashes[b:e]
         share = [float(np.isin(x, have if len(x) > 1 or e - b == 1 else np.concatenate([have, single])).mean()) for x in (index.question[item], index.answer[item])]
