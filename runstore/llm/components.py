@@ -16,7 +16,8 @@ from .scratch import keep
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    least = near.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.col("k")).alias("m"))
+    # Written first, so that the join shuffles both sides itself and a hub's rows can be split.
+    least = keep(near.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.col("k")).alias("m")), "least")
     joined = near.join(least, F.col("u") == F.col("k"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -13,8 +13,9 @@ size histogram of all documents. Light sets that can link to a heavy one are pos
 
 Lists are not expanded into all pairs. First each list is checked as a star around its member
 with the most room for overlap (the fewest rarer elements); groups of near copies collapse in
-that step. Then only pairs between different components remain, and of those the ones that pass
-the size and position bounds are verified too. Verification compares whole sets.
+that step. Lists whose members still lie in different components are then checked in rounds: ``HEADS``
+members with the most room against all others of the list in other components, as far as the size
+and position bounds allow, after which these members are done. Verification compares whole sets.
 
 Nulls and odd input: a null text is an empty set; an empty set links with nothing and is its own
 component. Rows with a null doc_id keep a row, with null component unless their class or links
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,6 +42,7 @@ SKETCH_PARTS = 64
 WANTED_BITS = 23  # bits of the filter on classes to verify: 1 MB whatever the corpus
 MEETINGS = 0.25  # cost model: candidates to verify for each posting
 SET_BYTES = 1 << 18  # text whose sets are made at once
+HEADS = 4096  # members of a list that a round checks against the others
 LARGEST_LIGHT = 40  # sizes for which the boundary is searched
 
 _U = np.uint64
@@ -90,19 +92,19 @@ def _profile(k: int) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "cid", "part", "counts"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "row_key", "n", "cid", "part", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         schema = pa.schema(list(zip(names, types)))
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("row_key")
             for rows, h, _, n, cid in _sets(batch, k):
                 counts += np.bincount(_bucket(h, SKETCH_BITS), minlength=len(counts))
                 none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays([ids.slice(rows.start, len(rows)).cast(pa.int64()), pa.array(n.astype(np.int32)), pa.array(cid), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(rows.start, len(rows)), keys.slice(rows.start, len(rows)), pa.array(n.astype(np.int32)), pa.array(cid), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
             parts = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(SKETCH_PARTS, -1)
             none = pa.nulls(SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts])], schema=schema)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts])], schema=schema)
 
     return run
 
@@ -211,10 +213,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    return jaccard_groups(docs, F.lit(0), k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, row_key: Column, k: int = 4, percent: int = 85) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component_id, group_id`` for every row of ``docs`` (doc_id, text).
+
+    ``row_key`` is any 64-bit column of ``docs``. ``group_id`` names the component whatever ids its
+    rows have, even none; it is null for an empty set.
+    """
     spark = docs.sparkSession
-    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    profile = keep(docs.mapInArrow(_profile(k), "doc_id long, n int, cid long, part int, counts binary"), "profile")
-    docs_of = profile.where("part is null").select("doc_id", "n", "cid")
+    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key.cast("long").alias("row_key"), F.col("text").cast("string").alias("text")))
+    profile = keep(docs.mapInArrow(_profile(k), "doc_id long, row_key long, n int, cid long, part int, counts binary"), "profile")
+    docs_of = profile.where("part is null").select("doc_id", "row_key", "n", "cid")
     sketch = spark.sparkContext.broadcast(_sketch(profile))
     sizes = docs_of.where(f"n between 1 and {LARGEST_LIGHT + 10}").groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in sizes}, percent)
@@ -223,28 +234,33 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     lists = keep(posts, "postings")
     sketch.unpersist()
     heads = lists.groupBy("key").agg(F.max_by(F.struct("cid", "n", "room"), F.struct("room", "cid")).alias("h"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("key", F.col("h.cid").alias("hc"), F.col("h.n").alias("hn"), F.col("h.room").alias("hr"))
-    lists = keep(lists.join(heads, "key"), "lists")  # only keys that different classes share
+    # Heads are written first, so that the join shuffles both sides itself and a hot key's rows can be split.
+    lists = keep(lists.join(keep(heads, "heads"), "key"), "lists")  # only keys that different classes share
 
     fits = "least({0}, {1}) >= cast(ceil(%d * (n + {2}) / %d.0D) as int)" % (percent, 100 + percent)
     star = lists.where(F.col("cid") != F.col("hc")).where(fits.format("room", "hr", "hn"))
     star = keep(star.select(F.least("cid", "hc").alias("a"), F.greatest("cid", "hc").alias("b")).distinct(), "star")
     links = _verify(star, docs, k, percent)
 
-    roots = keep(components(links, "a", "b"), "roots")
-    named = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", "room", F.coalesce("root", "cid").alias("c"))
-    open_keys = keep(named, "named")
-    several = open_keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = keep(open_keys.join(several, "key"), "open")
-    other = rest.select("key", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "room", "c")])
-    more = rest.join(other, "key").where("cid < cid_ and c <> c_").where(fits.format("room", "room_", "n_"))
-    more = keep(more.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_verify(more, docs, k, percent))
+    left = lists.select("key", "cid", "n", "room")
+    while True:
+        roots = keep(components(links, "a", "b"), "roots").withColumnRenamed("node", "cid")
+        named = keep(left.join(roots, "cid", "left").select("key", "cid", "n", "room", F.coalesce("root", "cid").alias("c")), "named")
+        several = keep(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "several")
+        if several.isEmpty():
+            break
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("room"), "cid"))
+        rest = keep(named.join(several, "key").withColumn("rank", rank), "open")
+        other = rest.where(f"rank <= {HEADS}").select("key", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "room", "c", "rank")])
+        more = rest.join(other, "key").where("rank_ < rank and c <> c_").where(fits.format("room", "room_", "n_"))
+        more = keep(more.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+        links = keep(links.unionByName(_verify(more, docs, k, percent)), "all-links")
+        left = rest.where(f"rank > {HEADS}").select("key", "cid", "n", "room")
 
     classes = docs_of.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("k"))
-    final = components(links, "a", "b").withColumnRenamed("node", "cid")
-    joined = classes.join(final, "cid", "left").where("k > 1 or root is not null").select("cid", F.coalesce("root", "cid").alias("root"), "doc")
+    joined = classes.join(roots, "cid", "left").where("k > 1 or root is not null").select("cid", F.coalesce("root", "cid").alias("root"), "doc")
     joined = keep(joined, "classes")
-    least = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
-    member = keep(joined.join(least, "root").select("cid", "component_id"), "members")
+    least = keep(joined.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
+    member = keep(joined.join(least, "root").select("cid", "component_id", "root"), "members")
     out = docs_of.withColumn("at", F.when(F.col("n") > 0, F.col("cid"))).join(member.withColumnRenamed("cid", "at"), "at", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "at").alias("group_id"))
