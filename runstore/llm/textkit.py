@@ -95,6 +95,12 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]]
 
 
+def vocabulary_bytes(path: str) -> bytes:
+    """A vocabulary's file, which only the driver opens; executors get it as a broadcast."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
