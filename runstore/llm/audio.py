@@ -8,8 +8,9 @@ PCM is brought from 8 to 16 kHz by an integer half-band filter.
 
 Nulls and odd input: a null text is empty, and an empty payload is one block of zeros. Text is
 taken whole, as UTF-8. The format follows from the payload, so equal texts give equal media.
-Rows with a null doc_id and repeated rows keep their place; other columns are ignored. A media
-value that is null or no known WAVE file decodes to null PCM.
+Rows with a null doc_id and repeated rows keep their place, there are no ties; other columns are
+ignored. A media value that is null or no known WAVE file decodes to null PCM. A very long text costs
+memory in proportion, a few bytes for each of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+from .textkit import tidy
+
 BLOCK = 64
 RATE = 8000
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 NAMES = {v: k for k, v in TAGS.items()}
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+PIECE = 1 << 16  # samples that features are made of at once
 
 
 def _mulaw_table() -> np.ndarray:
@@ -136,11 +141,21 @@ def resample(pcm: np.ndarray) -> np.ndarray:
 
 
 def feature(name: str, pcm: np.ndarray) -> str:
-    """Format, samples, root mean square, peak, sign changes and CRC of resampled PCM."""
-    wide = pcm.astype(np.int64)
-    changes = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    rms = math.isqrt(int(np.dot(wide, wide)) // len(pcm))
-    return f"{name};n={len(pcm)};rms={rms};peak={int(np.abs(wide).max())};zc={changes};crc={zlib.crc32(pcm.tobytes()):08x}"
+    """Format, samples, root mean square, peak, sign changes and CRC of the PCM at twice the rate.
+
+    It is resampled and summed up piece by piece, so that a long text is never widened whole.
+    """
+    n = power = peak = changes = crc = 0
+    last = None
+    for begin in range(0, len(pcm), PIECE):
+        part = resample(pcm[max(0, begin - 1) : begin + PIECE + 2])
+        part = part[2 * (begin > 0) :][: 2 * min(PIECE, len(pcm) - begin)]
+        wide = part.astype(np.int64)
+        n, power, peak = n + len(part), power + int(np.dot(wide, wide)), max(peak, int(np.abs(wide).max()))
+        below = part < 0
+        changes += int(np.count_nonzero(below[1:] != below[:-1])) + int(last is not None and last != below[0])
+        last, crc = below[-1], zlib.crc32(part.astype("<i2").tobytes(), crc)
+    return f"{name};n={n};rms={math.isqrt(power // max(1, n))};peak={peak};zc={changes};crc={crc:08x}"
 
 
 def _parts(sizes: list[int]) -> Iterator[range]:
@@ -157,6 +172,7 @@ def _parts(sizes: list[int]) -> Iterator[range]:
 def store(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text of ``docs`` (doc_id, text) as a WAVE file."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -168,13 +184,14 @@ def store(docs: DataFrame) -> DataFrame:
                     media.append(wave(payload, format_of(payload)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(part)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm(stored: DataFrame) -> DataFrame:
     """``doc_id, sample_rate, pcm``: the media of ``stored`` as 16-bit little-endian PCM at 16 kHz."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column("media").to_pylist()
@@ -190,6 +207,7 @@ def describe(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column("media").to_pylist()
@@ -197,7 +215,7 @@ def describe(stored: DataFrame) -> DataFrame:
                 read = [read_wave(media[i]) for i in part]
                 cols = [[], [], [], [], [], []]
                 for i, x, sound in zip(part, read, decode(read)):
-                    row = (None,) * 6 if x is None else (len(x[1]), hashlib.sha256(x[1]).hexdigest(), zlib.crc32(x[1][-BLOCK:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature(x[0], resample(sound)))
+                    row = (None,) * 6 if x is None else (len(x[1]), hashlib.sha256(x[1]).hexdigest(), zlib.crc32(x[1][-BLOCK:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature(x[0], sound))
                     for c, v in zip(cols, row):
                         c.append(v)
                 own = [batch.column(c).slice(part.start, len(part)) for c in ("doc_id", "n_bytes")]

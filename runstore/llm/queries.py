@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, chaining, decontam, jaccard, langid, licences, lm, mixing, sharding, wrappers
+from .scratch import keep
 
 SHARD_BYTES = 1 << 20
 
@@ -58,7 +59,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.describe(audio.store(table(spark, sf_dir, "documents")))
+    return audio.describe(keep(audio.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
