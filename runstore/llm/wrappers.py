@@ -7,13 +7,18 @@ side has becomes optional. There are no alternatives, so a wrapper is a sequence
 repeated groups and optional parts. It grows with the number of different shapes, not of pages.
 
 A slot is labelled by the elements of its own page that it stands in. Where a page has no article
-container, the wrapper tells whether the slot's text is the same on all of the host's pages, found by
-aligning the page's shape with the wrapper. A page's text is that of its slots that carry content.
+container, the wrapper decides: a slot whose whole text is the same on all of the host's pages, and
+on several that differ elsewhere, belongs to the template; its place is found by aligning the
+page's shape with the wrapper. A page's text is that of its slots that carry content.
 
 Tasks fold their own pages first, so a host of any size is merged from a few partial wrappers.
 Wrappers are broadcast up to ``BROADCAST_BYTES`` in all; beyond, pages and wrappers are joined.
 
-Nulls and odd input: null html is empty and has no text. A null url, or one without a host,
+Pages are folded in the order in which a task reads them, so of two wrappers that align equally well
+either may come out; whether a slot is constant does not depend on that order.
+
+Nulls and odd input: null html is empty and has no text. A very long page costs memory for its own
+tokens. Ties between alignments go to the page's earlier part. A null url, or one without a host,
 belongs to the host ``''``. Unclosed tags and stray brackets are read as browsers would. Repeated
 pages give repeated rows. Other columns are ignored.
 """
@@ -47,6 +52,8 @@ SIBLINGS |= dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset(("thead", "tbo
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OTHER_TAGS = frozenset("nav footer aside form menu dialog head button select".split())
 OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu sidebar footer header masthead comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe signup breadcrumb breadcrumbs popup modal overlay widget widgets skip toolbar pagination pager login search".split())
+# Words that a name may have besides; a name with any other word, such as related-work, marks nothing.
+BESIDE = frozenset("a area articles bar block bottom bottoms box btn button buttons class container content form global group holder icons id inner left link links list main message nav panel posts primary region right row secondary section site slot stories top unit wrap wrapper".split())
 MAIN_NAMES = frozenset("article main articlebody".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -65,6 +72,18 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def marks(attributes: str) -> str:
+    """The words of a tag's names that can decide a label. A name counts where all its words belong to it."""
+    out = set()
+    for found in _MARK.findall(attributes):
+        for name in "".join(found).split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if all(w in OTHER_NAMES or w in BESIDE for w in words):
+                out.update(w for w in words if w in OTHER_NAMES)
+            out.update(w for w in (*words, name.lower()) if w in MAIN_NAMES)
+    return "".join(f".{w}" for w in sorted(out))
+
+
 def tokens(html: str | None) -> tuple[list[str], list[str]]:
     """Symbols of a page and, for each, its raw text ('' for tags). Slots have the symbol T.
 
@@ -83,8 +102,7 @@ def tokens(html: str | None) -> tuple[list[str], list[str]]:
             name = m["name"].lower()
             if name in INLINE:  # text on both its sides is one run
                 continue
-            marks = "" if m["close"] else "".join(sorted({f".{w}" for g in _MARK.findall(m["rest"]) for w in map(str.lower, _WORD.findall("".join(g))) if w in OTHER_NAMES or w in MAIN_NAMES or "".join(g).lower() in MAIN_NAMES}))
-            symbols.append(f"{m['close']}{name}{marks}")
+            symbols.append(f"{m['close']}{name}{'' if m['close'] else marks(m['rest'])}")
             texts.append("")
     return symbols, texts
 
@@ -229,8 +247,9 @@ def digest(*texts: str) -> str:
     return f"{hashlib.blake2b(data, digest_size=16).hexdigest()}{len(data)}"
 
 
-def page_wrapper(nodes: list[Node], texts: list[str]) -> Wrapper:
-    page = digest(*texts, *shape(nodes))
+def page_wrapper(nodes: list[Node], texts: list[str], inside: list[tuple[bool, bool]]) -> Wrapper:
+    """The wrapper of one page. Pages that differ in other matter alone, such as adverts, count as one."""
+    page = digest(*(t for t, (other, _) in zip(texts, inside) if not other))
     same = {k: (digest(texts[x.at[0]]), [page]) for k, x in enumerate(nodes) if x.key == "T"}
     return Wrapper(shape(nodes), [False] * len(nodes), same)
 
@@ -307,7 +326,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             symbols, texts = tokens(html)
-            new = page_wrapper(fold(symbols), texts)
+            new = page_wrapper(fold(symbols), texts, contained(symbols))
             shapes = hosts.setdefault(host_of(url), {})
             key = tuple(new.keys)
             shapes[key] = shapes[key].merged(new) if key in shapes else new
