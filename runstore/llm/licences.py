@@ -6,11 +6,13 @@ identifiers of a document is then read from left to right against an ordered lis
 each place the first rule whose sequence matches consumes it and names a licence. Identifiers
 that no rule uses are counted as unmatched.
 
-Rules and sentences are parameters; the tables here are the defaults.
+A rule may consume sentences that name no licence of their own, such as a warranty.
 
-Nulls and odd input: a null or empty text has no licence (``licences`` is the empty string).
-Repeated rows give repeated results; ties do not arise, since rule order decides. Other columns
-are ignored.
+Rules and sentences are parameters; the tables of ``licence_table`` are the defaults.
+
+Nulls and odd input: a null or empty text has no licence (``licences`` is the empty string). A very
+long text is scanned whole. Repeated rows give repeated results; ties do not arise, since rule order
+decides. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,58 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Normalised sentence patterns and their identifiers, most specific first.
-SENTENCES: tuple[tuple[str, str], ...] = (
-    (r"(?:this \w+ is )?licensed under the apache license,? version (?P<v>\d(?:\.\d)?)(?: \(the [\"“”']*license[\"“”']*\))?", "ApacheVer:{v}"),
-    (r"you may not use this file except in compliance with the license", "ApacheCompliance"),
-    (r"you may obtain a copy of the license at .*apache\.org/licenses/license-2\.0.*", "ApacheURL"),
-    (r"(?:this \w+ is )?(?:released|licensed|distributed) under the (?:terms of the )?mit license", "MITName"),
-    (r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.*", "MITPermission"),
-    (r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software", "MITNotice"),
-    (r"the software is provided \"?as is\"?, without warranty of any kind.*", "AsIsWarranty"),
-    (r"(?:this \w+ is )?(?:free software[;:,]? )?(?:released|licensed|distributed) under the (?:terms of the )?gnu (?P<k>lesser |affero )?general public license,?(?: as published by the free software foundation,?)?(?: (?:either )?(?:version|v) ?(?P<v>\d(?:\.\d)?)(?: of the license)?)?(?P<p>,? or \(?at your option\)? any later version)?", "GPLVer:{k}:{v}:{p}"),
-    (r"(?:(?:this|the) \w+ is |[\w-]+ is )?free software[;:,]? you can redistribute it and/or modify it under the terms of the gnu (?P<k>lesser |library |affero )?general public license,? as published by the free software foundation[;,]? (?:either )?version (?P<v>\d(?:\.\d)?)(?: of the license)?(?P<p>,? or \(?at your option\)? any later version)?", "GPLVer:{k}:{v}:{p}"),
-    (r"redistribution and use in source and binary forms,? with or without modification,? are permitted provided that the following conditions are met:?", "BSDPermission"),
-    (r"redistributions of source code must retain the above copyright notice.*", "BSDSource"),
-    (r"redistributions in binary form must reproduce the above copyright notice.*", "BSDBinary"),
-    (r"neither the name of .* nor the names of its contributors may be used to endorse or promote products.*", "BSDEndorse"),
-    (r"(?:this \w+ is )?(?:released|licensed|distributed) under (?:the )?(?:cc|creative commons)[ -](?P<k>by(?:-(?:nc|sa|nd))*|0)(?: (?:license )?(?:version )?(?P<v>\d\.\d))?", "CCName:{k}:{v}"),
-    (r"this source code form is subject to the terms of the mozilla public license,? v\. 2\.0", "MPLName"),
-    (r"(?:this \w+ is )?(?:released|licensed|distributed) under the (?P<n>[23])-clause bsd license", "BSDName:{n}"),
-    (r"this \w+ is (?:dedicated to|in) the public domain", "PublicDomain"),
-    (r"all rights reserved", "AllRights"),
-    (r"(?:copyright )?(?:\(c\)|©|copyright) .*?all rights reserved", "AllRights"),
-    (r"spdx-license-identifier: (?P<s>[\w.+-]+)", "SPDX:{s}"),
-)
-# Words of which every known sentence has one; others cannot map to an identifier.
-TRIGGERS = ("licen", "permission", "copyright", "warranty", "redistribution", "neither the name", "public domain", "rights reserved", "(c)", "©", "spdx", "free software", "cc by", "cc-by", "cc 0", "cc-0", "creative commons")
-# Ordered rules, a sequence of identifier patterns and the licence that it names.
-RULES: tuple[tuple[tuple[str, ...], str], ...] = (
-    (("ApacheVer:(.+)", "ApacheCompliance", "ApacheURL"), "Apache-{1}"),
-    (("ApacheVer:(.+)",), "Apache-{1}"),
-    (("MITPermission", "MITNotice", "AsIsWarranty"), "MIT"),
-    (("MITPermission", "MITNotice"), "MIT"),
-    (("MITName",), "MIT"),
-    (("BSDPermission", "BSDSource", "BSDBinary", "BSDEndorse"), "BSD-3-Clause"),
-    (("BSDPermission", "BSDSource", "BSDBinary"), "BSD-2-Clause"),
-    (("BSDName:(.)",), "BSD-{1}-Clause"),
-    (("GPLVer::(.+):",), "GPL-{1}-only"),
-    (("GPLVer::(.+):.+",), "GPL-{1}-or-later"),
-    (("GPLVer:lesser :(.+):",), "LGPL-{1}-only"),
-    (("GPLVer:lesser :(.+):.+",), "LGPL-{1}-or-later"),
-    (("GPLVer:library :(.+):",), "LGPL-{1}-only"),
-    (("GPLVer:library :(.+):.+",), "LGPL-{1}-or-later"),
-    (("GPLVer:affero :(.+):",), "AGPL-{1}-only"),
-    (("GPLVer:affero :(.+):.+",), "AGPL-{1}-or-later"),
-    (("GPLVer:.*",), "GPL"),
-    (("CCName:0:(.*)",), "CC0-1.0"),
-    (("CCName:(.+):(.+)",), "CC-{1}-{2}"),
-    (("CCName:(.+):",), "CC-{1}"),
-    (("MPLName",), "MPL-2.0"),
-    (("SPDX:(.+)",), "{1}"),
-    (("PublicDomain",), "public-domain"),
-    (("AllRights",), "proprietary"),
-)
+from .licence_table import RULES, SENTENCES, TRIGGERS
+from .scratch import bounded
+from .textkit import tidy
+
 # Comment marks and list numbers before a line's words; a blank line between paragraphs, except before
 # an address; the end of a sentence, which no abbreviation and no clause of a known sentence is.
 _LEAD = re.compile(r"^[^\S\n]*(?:[#*/;>|%!\-]+[^\S\n]*|\.\.[^\S\n]+|dnl[^\S\n]+)*(?:(?:\(?\d{1,2}|\([abd-z]|[a-z])\)[^\S\n]+)?", re.M)
@@ -151,7 +105,7 @@ class Recogniser:
                 if len(hits) == len(patterns) and all(hits):
                     parts = [g for h in hits for g in h.groups()]
                     named = re.sub(r"\{(\d)\}", lambda m: parts[int(m[1]) - 1], name)
-                    found.append(named.upper() if name.startswith("CC") else named)
+                    found += [named.upper() if name.startswith("CC") else named] * bool(named)
                     i += len(patterns)
                     break
             else:
@@ -166,6 +120,7 @@ def scan(docs: DataFrame, recogniser: Recogniser = Recogniser()) -> DataFrame:
     ``licences`` holds the names joined by `` AND ``; ``sentences`` the identifiers by a blank.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids, left = [], [], []
@@ -177,5 +132,5 @@ def scan(docs: DataFrame, recogniser: Recogniser = Recogniser()) -> DataFrame:
                 left.append(unmatched)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(ids, pa.string()), pa.array(left, pa.int64())], names=["doc_id", "licences", "sentences", "n_unmatched"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return docs.mapInArrow(run, "doc_id long, licences string, sentences string, n_unmatched long")
