@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runstore.llm import audio, chaining, decontam, jaccard, langid, licences, lm, mixing, queries, sharding, wrappers
+from runstore.llm import audio, chaining, decontam, jaccard, langid, licences, lm, mixing, queries, sharding, textkit, wrappers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string"
 VOCABULARY = queries.vocabulary("piece_bpe_32k.model")
@@ -110,6 +110,28 @@ def test_jaccard_of_small_sets(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
 
 
+def test_jaccard_of_long_lists(spark, monkeypatch):
+    """Sets over few words, so that lists are long and hold many components; rounds of few members."""
+    monkeypatch.setattr(jaccard, "HEADS", 12)
+    rng = random.Random(21)
+    sets = [sorted(rng.sample(range(16), rng.randint(6, 9))) for _ in range(90)]
+    expected = list(range(len(sets)))
+
+    def find(i):
+        while expected[i] != i:
+            i = expected[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = set(sets[i]), set(sets[j])
+        if 100 * len(a & b) >= 70 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            expected[y] = x
+    rows = [(i, " ".join(f"w{v}" for v in x)) for i, x in enumerate(sets)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=70).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(sets))} and 20 < len({find(i) for i in range(len(sets))}) < 85
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({6: 100, 30: 1}, 85) >= 6 and jaccard.boundary({}, 85) == 0
     assert jaccard.subset_sizes(6, 85) == [6]
@@ -125,7 +147,7 @@ def test_language(docs, rows, empty):
 
 
 def test_language_forward_sums_all_segmentations():
-    pieces = langid.Pieces(VOCABULARY)
+    pieces = langid.Pieces(textkit.vocabulary_bytes(VOCABULARY))
     rng = np.random.default_rng(0)
     p = rng.random((len(pieces) + 1, 2))
     p[-1] = 0
@@ -141,6 +163,35 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(langid.score_texts(pieces, p, ["THE"])[0], np.log(total))
 
 
+def test_language_of_long_and_unlikely_words():
+    """The forward pass alone, side by side and in plain logarithms agree; no word is cut or floored."""
+    pieces = langid.Pieces(textkit.vocabulary_bytes(VOCABULARY))
+    rng = np.random.default_rng(1)
+    p = rng.random((len(pieces) + 1, 2)) ** 3
+    p[:256] *= 1e-9
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    at = {x: i for i, x in enumerate(pieces.pieces)}
+
+    def plain(word):
+        out = [np.zeros(2)]
+        for e in range(1, len(word) + 1):
+            ways = [out[e - l] + np.log(p[at[word[e - l : e]]]) for l in range(1, min(e, pieces.longest) + 1) if word[e - l : e] in at]
+            out.append(np.logaddexp.reduce(ways, axis=0))
+        return out[-1]
+
+    assert max(map(len, pieces.pieces)) == pieces.longest > 16
+    longest = next(x for x in pieces.pieces if len(x) == pieces.longest)
+    for word in ("wort" * 125, "\U0001f9ff" * 40, "\U0001f9ff" * 12, longest.decode().strip().lower() * 3, "of"):
+        assert np.allclose(langid.score_texts(pieces, p, [word])[0], plain(b" " + word.encode()), rtol=1e-9)
+    words, counts = [b" the", b" " + b"wort" * 60, "\u2603\u2603".encode()], np.array([[3.0, 0], [1, 2], [0, 1]])
+    side, langid.LONG = langid.learn(pieces, words, counts, 2), 0
+    try:
+        assert np.allclose(side, langid.learn(pieces, words, counts, 2), rtol=1e-8)
+    finally:
+        langid.LONG = 160
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta? iota kappa lambda mu."), (2, None), (3, ""), (1, "alpha beta gamma delta epsilon zeta eta theta? iota kappa lambda mu."), (None, "one two three four five six seven eight")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -156,21 +207,75 @@ def test_decontamination(spark, docs, rows, empty):
 def test_wand_equals_exhaustive_scores():
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(80)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 20)))) for i in range(70)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 40)))) for i in range(70)]
     parsed = [decontam.words_of([t.encode()]) for _, t in items]
     df = Counter(int(h) for w in parsed for h in np.unique(w.hashes).view(np.int64))
     index = decontam.build(items, df, len(items), 12.0)
     text = decontam.words_of([" ".join(rng.choices(vocabulary, k=400)).encode()])
-    got = {(int(b), int(i)): s for b, _, i, s in zip(*decontam.search(index, text, 0.5))}
-    n = 0
-    for begin in range(0, 400, index.longest):
-        have = set(text.hashes[begin : begin + 2 * index.longest].tolist())
-        for i in range(len(items)):
-            score = sum(index.impact[k] for t in range(len(index.terms)) for k in range(index.item_first[t], index.item_first[t + 1]) if index.item_at[k] == i and int(index.terms[t]) in have)
-            if score >= 0.5 and begin + index.longest < 400:
-                n += 1
-                assert math.isclose(got[begin, i], score)
-    assert n
+    got = {(b, e, i): s for b, e, i, s in decontam.search(index, text, 0.5)}
+    want = {}
+    for group in index.groups:
+        for begin in range(0, max(1, 400 - group.longest), group.longest):
+            end = min(400, begin + 2 * group.longest)
+            have, score = set(text.hashes[begin:end].tolist()), Counter()
+            for t, term in enumerate(index.terms.tolist()):
+                for k in range(group.first[t], group.first[t + 1]) if term in have else ():
+                    score[int(group.item[k])] += group.impact[k]
+            want |= {(begin, end, i): s for i, s in score.items() if s >= 0.5}
+    assert len(want) > 50 and len(index.groups) > 2 and set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def brute_contaminated(docs, items, rule=decontam.Rule()):
+    """The same decisions from plain words: every item against every passage of its group's width."""
+    items = [(i, words(t), t) for i, t in items if words(t)]
+    df = Counter(w for _, ws, _ in items for w in set(ws))
+    mean = sum(len(ws) for _, ws, _ in items) / len(items)
+    longest = Counter()
+    for _, ws, _ in items:
+        longest[len(ws).bit_length()] = max(longest[len(ws).bit_length()], len(ws))
+    pairs = lambda ws: set(zip(ws, ws[1:])) if len(ws) > 1 else set(ws)
+    out = set()
+    for i, ws, text in items:
+        tf = Counter(ws)
+        impact = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, n in tf.items()}
+        cut = decontam.split_item(text, len(ws))
+        question, answer = pairs(ws[:cut]), pairs(ws[cut:])
+        step = longest[len(ws).bit_length()]
+        for d, doc in docs:
+            dw = words(doc)
+            for begin in range(0, max(1, len(dw) - step), step):
+                part = dw[begin : begin + 2 * step]
+                have = pairs(part) | set(part)
+                score = sum(v for w, v in impact.items() if w in set(part)) / sum(impact.values())
+                if score >= rule.threshold and len(question & have) >= rule.question * len(question) and len(answer & have) >= rule.answer * len(answer):
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([4, 12, 30, 90])))) for i in range(40)] + [(40, "no\u00a0break one. two three four.")]
+    docs = []
+    for d in range(80):
+        text = rng.choices(vocabulary, k=rng.randint(0, 300))
+        if d % 2:
+            planted = words(rng.choice(items)[1])
+            planted = [w if rng.random() > 0.2 * (d % 3) else "changed" for w in planted]
+            text[rng.randint(0, len(text)) : 0] = planted
+        docs.append((d, " ".join(text)))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert len(got) > 15 and got == brute_contaminated(docs, items)
+
+
+def test_decontamination_is_not_changed_by_a_long_item(spark):
+    short, gap = [f"s{i}" for i in range(12)], ["filler"] * 300
+    docs = spark.createDataFrame([(1, " ".join(short[:6] + gap + short[6:]), "x", "y"), (2, " ".join(short), "x", "y")], "doc_id long, text string, score string, item_id string")
+    for extra in ([], [(2, " ".join(f"l{i}" for i in range(5000)))]):
+        items = spark.createDataFrame([(1, " ".join(short)), *extra], "item_id long, text string")
+        assert [r["doc_id"] for r in decontam.contaminated(docs, items).collect()] == [2]
+        assert [r["doc_id"] for r in decontam.decontaminated(docs, items).collect()] == [1]
 
 
 def test_mixing(docs, rows, empty):
@@ -202,6 +307,32 @@ def test_mixing_parts():
         assert all(found.get(a, 0) <= c for a, c in zip(lengths, counts))
 
 
+def test_mixing_fit_equals_brute_force():
+    rng = random.Random(14)
+    for _ in range(120):
+        n = rng.randint(1, 5)
+        lengths, counts = rng.sample(range(1, 10_000), n), [rng.randint(0, 3) for _ in range(n)]
+        total = sum(a * b for a, b in zip(lengths, counts))
+        target = float(rng.randint(0, 2 * total))
+        copies, extra = mixing.fit(lengths, counts, target, 2)
+        whole = min(2, int(target // total)) if total else 0
+        budget = int(target) - whole * total if whole < 2 else 0
+        best = max(s for k in itertools.product(*(range(c + 1) for c in counts)) if (s := sum(a * b for a, b in zip(lengths, k))) <= budget)
+        assert copies == whole and sum(a * b for a, b in zip(lengths, extra)) == best and all(0 <= e <= c for e, c in zip(extra, counts))
+    assert mixing.fit([5000, 7000], [4, 4], 10_000.0, 2) == (0, [2, 0])
+    assert sum(a * b for a, b in zip([5000, 7000, 9001], mixing.fit([5000, 7000, 9001], [4, 4, 4], 15_000.0, 2)[1])) == 15_000
+
+
+def test_mixing_keeps_the_columns_of_its_input(spark):
+    names = ["doc_id", "text", "source", "size", "b", "s", "z", "taken", "rank", "u0", "+"]
+    rows = [(i, "word " * (i % 7 + 1), f"s{i % 2}", "7", i, "x", "y", -1, "r", "u", "+") for i in range(40)]
+    frame = spark.createDataFrame(rows, names)
+    out = mixing.mixed(frame)
+    assert out.columns == names and {tuple(r) for r in out.collect()} <= set(rows)
+    mixed = mixing.mix_sources(frame.drop("size")).collect()
+    assert out.count() == sum(r["copies"] for r in mixed) and all(r["b"] == r["doc_id"] and r["taken"] >= 0 and r["rank"] == "r" for r in mixed)
+
+
 def test_mixing_fits_long_documents():
     assert mixing.fit([9000, 6000, 5000], [1, 1, 1], 11000.0, 2) == (0, [0, 1, 1])
 
@@ -233,13 +364,20 @@ def test_lm_is_a_distribution_and_windows_agree():
     alone = lm.log10_texts(model, head, np.array([0, 20]))
     assert math.isclose(np.sum(10 ** (score - alone)), 1, rel_tol=1e-3)
     long = rng.integers(0, 699, 100)
-    text, inputs, targets, real = lm.blocks(long, np.array([0, 100]), 699)
-    top = lm._attend(model.w, model.input_of[inputs], real)[-1]
-    row, col = np.nonzero(real[:, lm.STRIDE :])
-    plain = lm._log_class(model.w, top[row, col], model.class_of[targets[row, col]]).sum() / math.log(10) + model.log_in_class[long].sum()
+    inputs, real, classes = lm.lesson(model, lm.blocks(long, np.array([0, 100]), 699)[2])
+    top = lm._attend(model.w, inputs, real)[-1]
+    row, col = np.nonzero(real[:, lm.BEFORE :])
+    plain = lm._log_class(model.w, top[row, col], classes[row, col]).sum() / math.log(10) + model.log_in_class[long].sum()
     assert len(row) == 100 and math.isclose(plain, lm.log10_texts(model, long, np.array([0, 100]))[0], rel_tol=1e-4)
 
 
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Prose of syllables in two languages, of which a word may be new but its syllables are not."""
+    rows = [(i, text) for i, text, *_ in made(900, seed=5)[:900]]
+    got = [r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY).collect() if r["held_out"]]
+    assert len(got) > 100 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
 def test_lm_learns_from_documents_outside_the_sample(spark):
     """Corpora with equal counts that differ only in the order of words, none of it in the sample."""
     rng = random.Random(3)
@@ -248,7 +386,7 @@ def test_lm_learns_from_documents_outside_the_sample(spark):
     scores = []
     for make in (lambda n: phrase * n, mixed):
         rows = [(i, " ".join(make(60))) for i in range(300)] + [(1000, " ".join(phrase * 20))]
-        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), VOCABULARY, train_docs=0).where("doc_id = 1000").first()
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), VOCABULARY, train_docs=0, share=1).where("doc_id = 1000").first()
         scores.append(got["score"] / got["n_tokens"])
     assert scores[0] > scores[1] + 0.02
 
@@ -287,6 +425,55 @@ def test_chains_take_a_near_match_where_the_best_is_far():
     assert [4, 5] in chaining.chains(x, y)
 
 
+def brute_chains(x, y):
+    """The same chains by looking at every pair of matches."""
+    order, value, back = np.lexsort((y, x)).tolist(), {}, {}
+    reach = chaining.GAP + chaining.K
+    for i in order:
+        ways = [(value[j] + 0.1 * (int(x[j]) + int(y[j])), j) for j in value if 0 < x[i] - x[j] <= reach and 0 < y[i] - y[j] <= reach]
+        value[i], back[i] = float(chaining.K), -1
+        if ways:
+            best, j = max(ways)
+            joined = best - 0.1 * (int(x[i]) + int(y[i])) + min(chaining.K, int(x[i] - x[j]), int(y[i] - y[j]))
+            if joined > 0:
+                value[i], back[i] = max(value[i], joined + chaining.K * 0.2), j
+    out, taken = [], set()
+    for i in sorted(order, key=lambda i: -value[i]):
+        chain = []
+        while i >= 0 and i not in taken:
+            taken.add(i)
+            chain.append(i)
+            i = back[i]
+        out += [chain[::-1]] * bool(chain)
+    return out
+
+
+def test_chains_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 120):
+        for _ in range(20):
+            x, y = rng.integers(0, 3 * n, n), rng.integers(0, 3 * n, n)
+            diagonal = rng.random(n) < 0.6
+            y = np.where(diagonal, x + 7 + rng.integers(0, 3, n), y)
+            x, y = np.unique(np.stack([x, y]), axis=1)
+            assert sorted(chaining.chains(x, y)) == sorted(brute_chains(x, y))
+
+
+def test_chaining_of_two_passages_repeated_rows_and_parts(spark):
+    rng = random.Random(10)
+    text = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two, long = text(70), text(90), text(30_000)
+    rows = [(1, one + text(40) + two), (2, two + text(300) + one), (3, text(60)), (3, text(20) + one + text(5)), (3, text(60)), (4, long), (5, text(7) + long[2000:29_000]), (6, two), (6, two), (None, one), (7, [])]
+    rows = [(i, " ".join(w), "h", 1, 2, 3) for i, w in rows] + [(8, None, "h", 1, 2, 3)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, h string, home int, pos int, part int").repartition(3)).collect()
+    spans = sorted((r["doc_id"], r["begin_word"], r["end_word"], tuple(r["homes"]), r["aligned"]) for r in got)
+    assert spans == [(2, 0, 90, (1,), 1.0), (2, 390, 460, (1,), 1.0), (3, 20, 90, (1,), 1.0), (5, 7, 27_007, (4,), 1.0), (6, 0, 90, (1,), 1.0)]
+    within = spark.createDataFrame([(1, " ".join(two + text(200) + two)), (2, " ".join(text(100)))], "doc_id long, text string")
+    assert chaining.repeated_passages(within).count() == 0
+    (r,) = chaining.repeated_passages(within, within=True).collect()
+    assert (r["doc_id"], r["begin_word"], r["end_word"], r["homes"]) == (1, 290, 380, [1])
+
+
 def test_chains_and_edit_distance():
     x, y = np.array([0, 9, 20, 500]), np.array([5, 14, 26, 2])
     assert sorted(map(sorted, chaining.chains(x, y))) == [[0, 1, 2], [3]]
@@ -335,6 +522,17 @@ def test_audio_codecs():
     assert audio.resample(np.array([100, 100, 100], dtype=np.int16)).tolist() == [100] * 6
 
 
+def test_audio_features_in_pieces_equal_those_of_the_whole():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 64, 1000, audio.PIECE - 1, audio.PIECE, audio.PIECE + 1, 3 * audio.PIECE + 5):
+        pcm = rng.integers(-32768, 32768, n).astype(np.int16)
+        whole = audio.resample(pcm)
+        wide = whole.astype(np.int64)
+        below = whole < 0
+        want = f"x;n={2 * n};rms={math.isqrt(int((wide**2).sum()) // (2 * n))};peak={np.abs(wide).max()};zc={np.count_nonzero(below[1:] != below[:-1])};crc={zlib.crc32(whole.tobytes()):08x}"
+        assert audio.feature("x", pcm) == want
+
+
 PAGE = '<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";</script></head><body><nav><ul><li><a>menu</a></li><li><a>two</a></li></ul></nav><div class="ad">buy</div><article><h1>Head &amp; line</h1><p>One <b>bo</b>ld\n text.<br>Next{}</article><div id="comments"><p>reader</p></div><footer>&copy; site</footer></body></html>'
 
 
@@ -369,6 +567,17 @@ def test_wrappers_compare_whole_texts_of_different_pages(spark):
     assert text == {**{i: f"{lead}end {i}" for i in range(4)}, **{10 + i: "copy" for i in range(5)}, **{20 + i: f"text {i}" for i in range(3)}}
 
 
+def test_wrappers_keep_articles_whose_names_hold_other_words(spark):
+    inner = "<div class='related-work'>a</div><section class='notice-of-appeal'>b</section><ul class='menu-items'><li>c</ul><table class='search-results'><tr><td>d</table>"
+    other = "<div class='ad'>x</div><div class='cookie-banner'>x</div><div id='site-nav'>x</div><div class='share-buttons top'>x</div><section class='comment-list'>x</section>"
+    rows = [(1, "https://a.example/1", f"<article><p>begin</p>{inner}{other}<p>end</p></article>"), (2, "https://a.example/2", None)]
+    rows += [(3 + i, f"https://b.example/{i}", f"<div class='ad'>advert {i}</div><p>one text</p>") for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(frame).collect()} == {1: "begin a b c d end", 2: "", **{3 + i: "one text" for i in range(4)}}
+    clash = frame.withColumns({"host": F.lit("h"), "wrapper": F.lit("w"), "text": F.lit("t"), "n_chars": F.lit(1)})
+    assert wrappers.extract(clash).count() == len(rows)
+
+
 def test_wrapper_inference():
     read = lambda s: wrappers.fold(s.split())
     assert wrappers.shape(read("ul li T /li li T /li li T /li /ul")) == ["ul", "(li T /li)+", "/ul"]
@@ -441,6 +650,62 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.
 }
 
 
+# A sentence or two of each further licence.
+SENTENCES = {
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.',
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+    "CDDL-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1.",
+    "Artistic-2.0": "Licensed under the Artistic License 2.0.",
+    "Artistic-1.0": "Distributed under the Artistic License.",
+    "Artistic-1.0-Perl OR GPL-1.0-or-later": "You may use it under the same terms as Perl itself.",
+    "PSF-2.0": "Licensed under the Python Software Foundation License.",
+    "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted.",
+    "HPND": "Permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies.",
+    "NCSA": "University of Illinois/NCSA Open Source License",
+    "JSON": NOTICES["MIT"].split("\n\n", 2)[2].replace("copies or substantial portions of the Software.", "copies or substantial portions of the Software.\n\nThe Software shall be used for Good, not Evil."),
+    "X11": NOTICES["MIT"].split("\n\n", 2)[2] + "\nExcept as contained in this notice, the name of Somebody shall not be used in advertising.",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "GFDL-1.3-or-later": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-3.0": "This work is licensed under the Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, Somebody has waived all copyright and related or neighboring rights to this work.",
+    "BSD-4-Clause": NOTICES["BSD-3-Clause"].replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement.\n4. Neither"),
+    "BSD-2-Clause": NOTICES["BSD-3-Clause"].split("3. Neither")[0],
+    "MIT": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    "MS-PL": "Microsoft Public License (Ms-PL)",
+    "EUPL-1.2": "Licensed under the EUPL, Version 1.2",
+    "OpenSSL": "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit.",
+    "Beerware": '"THE BEER-WARE LICENSE" (Revision 42):',
+    "BUSL-1.1": "Business Source License 1.1",
+    "SSPL-1.0": "Server Side Public License, version 1",
+    "Elastic-2.0": "Licensed under the Elastic License 2.0",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3-only": "Licensed under the GNU Affero General Public License, version 3.",
+    "Apache-2.0": "Apache License\nVersion 2.0, January 2004",
+}
+
+
+@pytest.mark.parametrize("name", SENTENCES)
+def test_further_licences(name):
+    found = licences.Recogniser()
+    assert found.match(found.sequence("Some text.\n\n" + SENTENCES[name] + "\n\nMore text."))[0] == [name]
+
+
+def test_every_sentence_has_a_trigger_and_every_identifier_a_rule():
+    used = " ".join(p for patterns, _ in licences.RULES for p in patterns)
+    for pattern, name in licences.SENTENCES:
+        plain = pattern.replace("\\", "")
+        assert any(t in plain or all(w in plain for w in t.split()) for t in licences.TRIGGERS), pattern
+        assert name.split(":")[0] in used or name.split(":")[0] in {"ApacheCompliance", "ApacheURL", "BSDEndorse", "AsIsWarranty"}, name
+
+
 @pytest.mark.parametrize("name", NOTICES)
 def test_standard_notices(name):
     found = licences.Recogniser()
