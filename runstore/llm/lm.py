@@ -9,10 +9,10 @@ attention over at most ``WINDOW`` ids and a small hidden layer feed a softmax of
 are classes of their own, and the rest share the last group's classes by frequency in equal
 mass; the probability of an id in a shared class comes from subword counts over all training
 documents. The weights start from a short training in numpy on the driver, on about ``train_docs``
-whole documents drawn by a hash of doc_id. Then all training documents teach: of each one's blocks
-one in ``share``, drawn by a hash of doc_id and place, is dealt to one of the ``ROUNDS``; in
-each, every task takes Adam steps over its own blocks, and the tasks' weights are averaged by their
-numbers of targets. A task's state is the weights, whatever it reads. Scoring cuts the ids into
+whole documents drawn by a hash of doc_id. Then all training documents teach, with every block:
+a hash of doc_id and place deals each to one of the ``ROUNDS`` (only one in ``share``, where a caller
+asks for more than 1); in each, every task takes Adam steps over its own blocks, and the tasks'
+weights are averaged by their numbers of targets. A task's state is the weights, whatever it reads. Scoring cuts the ids into
 blocks of ``STRIDE`` targets; every block sees the ``BEFORE`` ids before it as well, so windows
 overlap and each id is scored once. Blocks of all texts of a chunk are scored as one batch.
 
@@ -43,13 +43,15 @@ from .textkit import Words, chunks, mix, text_bytes, tidy, vocabulary_bytes
 
 GROUPS, SLOTS, INPUTS, HASHED = 32, 32, 2048, 256
 PART = 128  # blocks that are scored at once
-ROUNDS = (0.004, 0.0015)  # rate of each round over its part of that share
+ROUNDS = (0.004, 0.0015)  # rate of each round over its part of the blocks
 STEP = 128  # blocks of a step in a round
+ROW = 8192  # blocks that are stored as one
 TEXT_CHUNK = 2 << 20
 CAP, TINY = np.float32(60), np.float32(1e-30)
 STRIDE, BEFORE = 32, 8
 WINDOW = BEFORE + STRIDE
 DIM, HIDDEN = 24, 48
+_SCALE = np.float32(1 / math.sqrt(DIM))
 HEAD = 1 << 18
 END_WORD = int(mix(np.array([0x0E0D], dtype=np.uint64)).view(np.int64)[0])
 CACHE = 400_000  # some 15 MB
@@ -169,26 +171,43 @@ def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: (np.zeros(x) if k in ("b", "b2") else rng.normal(0, s, x)).astype(np.float32) for k, x in shapes.items()}
 
 
-_CAUSAL = np.arange(WINDOW)[None, :] <= (np.arange(STRIDE) + BEFORE)[:, None]
+_MASK = np.where(np.arange(WINDOW)[None, :] <= (np.arange(STRIDE) + BEFORE)[:, None], np.float32(0), np.float32(-1e30))
 
-_SELF = np.eye(STRIDE, WINDOW, BEFORE, dtype=bool)
 
+def _forward(w, inputs: np.ndarray, heads: np.ndarray):
+    """The hidden rows of the targets, last, and what their gradient needs; ``heads`` are the blocks that begin a text.
 
-def _attend(w, inputs: np.ndarray, real: np.ndarray):
-    x = w["e"][inputs] + w["p"]
-    late = x[:, BEFORE:]
-    q, k, v = late @ w["q"], x @ w["k"], x @ w["v"]
-    z = q @ k.transpose(0, 2, 1)
-    z *= np.float32(1 / math.sqrt(DIM))
-    # A query always sees itself, so that no row is empty.
-    z += np.where(_CAUSAL & real[:, None, :] | _SELF, np.float32(0), np.float32(-np.inf))
-    z -= z.max(axis=2, keepdims=True)
+    Queries after a text's end see what lies there; no target stands at them.
+    """
+    n = len(inputs)
+    x = w["e"][inputs]
+    x += w["p"]
+    late = x[:, BEFORE:].reshape(-1, DIM)
+    x = x.reshape(-1, DIM)
+    q = (late @ (w["q"] * _SCALE)).reshape(n, STRIDE, DIM)
+    # Keys, values, and a one that gathers the attention's total.
+    kv = x @ np.concatenate([w["k"], w["v"], np.zeros((DIM, 1), dtype=np.float32)], axis=1)
+    kv[:, 2 * DIM] = 1
+    kv = kv.reshape(n, WINDOW, 2 * DIM + 1)
+    z = np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1))
+    z += _MASK
+    z[heads, :, :BEFORE] = -1e30
+    np.minimum(z, CAP, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=2, keepdims=True)
-    mid = late + z @ v
-    act = np.maximum(mid @ w["h"], 0)
-    top = mid + act @ w["o"]
-    return x, late, q, k, v, z, mid, act, top
+    seen = np.matmul(z, kv[:, :, DIM:]).reshape(-1, DIM + 1)
+    total = 1 / (seen[:, DIM:] + TINY)
+    seen = seen[:, :DIM] * total
+    mid = late + seen
+    act = mid @ w["h"]
+    np.maximum(act, 0, out=act)
+    top = act @ w["o"]
+    top += mid
+    return x, late, q, kv, z, total, seen, mid, act, top
+
+
+def _attend(w, inputs: np.ndarray, real: np.ndarray):
+    *parts, top = _forward(w, inputs, np.flatnonzero(~real[:, BEFORE - 1]))
+    return *parts, top.reshape(len(inputs), STRIDE, DIM)
 
 
 def _sorted_groups(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -198,73 +217,97 @@ def _sorted_groups(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int,
     return order, [(g, edge[g], edge[g + 1]) for g in range(GROUPS) if edge[g] < edge[g + 1]]
 
 
+def _logits(w, top: np.ndarray, cls: np.ndarray, at: np.ndarray | None = None):
+    """Rows of ``top``, those ``at`` or all, by their classes' groups, each with a one; their order; the groups' edges; logits of both levels."""
+    order, edges = _sorted_groups(cls // SLOTS)
+    t = np.empty((len(order), DIM + 1), dtype=top.dtype)
+    t[:, :DIM] = top[order if at is None else at[order]]
+    t[:, DIM] = 1
+    coarse, fine = t @ np.concatenate([w["u"], w["b"][None]]), np.empty((len(order), SLOTS), dtype=top.dtype)
+    each = np.concatenate([w["u2"], w["b2"][:, None]], axis=1)
+    for g, begin, end in edges:
+        np.matmul(t[begin:end], each[g], out=fine[begin:end])
+    return t, order, edges, coarse, fine
+
+
 def _log_target(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log-softmax at the target of each row; overwrites the logits.
 
     Trained logits lie within a few tens, so a cap stands in for the usual shift by the maximum.
     """
     np.minimum(logits, CAP, out=logits)
-    chosen = logits[np.arange(len(target)), target]
+    chosen = logits.ravel()[np.arange(len(target)) * logits.shape[1] + target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype) + TINY)
 
 
-def _log_class(w, top: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural log-probability of the class of each row of ``top``."""
-    group = cls // SLOTS
-    out = _log_target(top @ w["u"] + w["b"], group)
-    order, edges = _sorted_groups(group)
-    top, logits = top[order], np.empty((len(top), SLOTS), dtype=top.dtype)
-    for g, begin, end in edges:
-        np.matmul(top[begin:end], w["u2"][g], out=logits[begin:end])
-        logits[begin:end] += w["b2"][g]
-    out[order] += _log_target(logits, cls[order] % SLOTS)
+def _log_class(w, top: np.ndarray, cls: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Natural log-probability of the class of each row of ``top``, or of those ``at``."""
+    _, order, _, coarse, fine = _logits(w, top, cls, at)
+    ordered, out = cls[order], np.empty(len(order), dtype=top.dtype)
+    out[order] = _log_target(coarse, ordered // SLOTS) + _log_target(fine, ordered % SLOTS)
     return out
 
 
-def _softmax_step(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    row = np.arange(len(target))
-    loss = -float(np.log(p[row, target]).sum())
-    p[row, target] -= 1
-    return loss, p
+def _errors(logits: np.ndarray, target: np.ndarray, n: np.float32) -> float:
+    """Loss of the targets; overwrites the logits by its gradient over ``n``."""
+    np.minimum(logits, CAP, out=logits)
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits @ np.full(logits.shape[1], n, dtype=logits.dtype) + TINY))[:, None]
+    flat, at = logits.ravel(), np.arange(len(target)) * logits.shape[1] + target
+    p = flat[at]
+    flat[at] = p - 1 / n
+    return -float(np.log(p * n + TINY).sum())
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A table of ``size`` rows, each the sum of the ``rows`` that lie ``at`` it."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    kinds = at[order]
+    edge = np.flatnonzero(np.diff(kinds, prepend=-1))
+    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
+    out[kinds[edge]] = np.add.reduceat(rows[order], edge, axis=0)
+    return out
 
 
 def gradients(w, inputs, real, classes) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the real targets, and its gradient."""
-    x, late, q, k, v, a, mid, act, top = _attend(w, inputs, real)
-    row, col = np.nonzero(real[:, BEFORE:])
-    n = np.float32(max(1, len(row)))
-    t, cls = top[row, col], classes[row, col]
-    loss, d = _softmax_step(t @ w["u"] + w["b"], cls // SLOTS)
-    g = {"u": t.T @ d / n, "b": d.sum(axis=0) / n, "u2": np.zeros_like(w["u2"]), "b2": np.zeros_like(w["b2"])}
-    dt = d @ w["u"].T
-    order, edges = _sorted_groups(cls // SLOTS)
+    x, late, q, kv, z, total, seen, mid, act, top = _forward(w, inputs, np.flatnonzero(~real[:, BEFORE - 1]))
+    at = np.flatnonzero(real[:, BEFORE:])
+    n, cls = np.float32(max(1, len(at))), classes.ravel()[at]
+    t, order, edges, d, fine = _logits(w, top, cls, at)
+    cls = cls[order]
+    loss = _errors(d, cls // SLOTS, n) + _errors(fine, cls % SLOTS, n)
+    gu, gu2 = t.T @ d, np.zeros((GROUPS, DIM + 1, SLOTS), dtype=top.dtype)
+    dt, more, back = d @ w["u"].T, np.empty((len(t), DIM), dtype=top.dtype), np.ascontiguousarray(w["u2"].transpose(0, 2, 1))
     for i, begin, end in edges:
-        at = order[begin:end]
-        more, d = _softmax_step(t[at] @ w["u2"][i] + w["b2"][i], cls[at] % SLOTS)
-        loss += more
-        g["u2"][i], g["b2"][i] = t[at].T @ d / n, d.sum(axis=0) / n
-        dt[at] += d @ w["u2"][i].T
+        np.matmul(t[begin:end].T, fine[begin:end], out=gu2[i])
+        np.matmul(fine[begin:end], back[i], out=more[begin:end])
+    dt += more
     dtop = np.zeros_like(top)
-    dtop[row, col] = dt / n
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g["o"] = flat(act).T @ flat(dtop)
-    dact = (dtop @ w["o"].T) * (act > 0)
-    g["h"] = flat(mid).T @ flat(dact)
-    dmid = dtop + dact @ w["h"].T
-    dv = a.transpose(0, 2, 1) @ dmid
-    da = dmid @ v.transpose(0, 2, 1)
-    dz = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(DIM))
-    dq, dk = dz @ k, dz.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(late).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, BEFORE:] += dmid + dq @ w["q"].T
-    g["p"] = dx.sum(axis=0)
-    cells = (inputs.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    g["e"] = np.bincount(cells, dx.ravel(), minlength=w["e"].size).reshape(w["e"].shape).astype(np.float32)
+    dtop[at[order]] = dt
+    g = {"u": gu[:DIM], "b": gu[DIM], "u2": gu2[:, :DIM], "b2": gu2[:, DIM], "o": act.T @ dtop}
+    dact = dtop @ w["o"].T
+    dact *= act > 0
+    g["h"] = mid.T @ dact
+    dmid = dact @ w["h"].T
+    dmid += dtop
+    # By the attention's unscaled weights z: what is seen is their product with the values over their total.
+    dseen = np.empty((len(dmid), DIM + 1), dtype=top.dtype)
+    np.multiply(dmid, total, out=dseen[:, :DIM])
+    dseen[:, DIM] = -((dseen[:, :DIM] * seen) @ np.ones(DIM, dtype=top.dtype))
+    dseen = dseen.reshape(len(inputs), STRIDE, DIM + 1)
+    dkv = np.empty((len(inputs), WINDOW, 2 * DIM), dtype=top.dtype)
+    np.matmul(z.transpose(0, 2, 1), dseen[:, :, :DIM], out=dkv[:, :, DIM:])
+    z *= np.matmul(dseen, kv[:, :, DIM:].transpose(0, 2, 1))
+    np.matmul(z.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+    dq, dkv = np.matmul(z, kv[:, :, :DIM]).reshape(-1, DIM) * _SCALE, dkv.reshape(-1, 2 * DIM)
+    gkv = x.T @ dkv
+    g["q"], g["k"], g["v"] = late.T @ dq, gkv[:, :DIM], gkv[:, DIM:]
+    dx = (dkv @ np.concatenate([w["k"].T, w["v"].T])).reshape(len(inputs), WINDOW, DIM)
+    dmid += dq @ w["q"].T
+    dx[:, BEFORE:] += dmid.reshape(len(inputs), STRIDE, DIM)
+    g["p"], g["e"] = dx.sum(axis=0), _sums(dx.reshape(-1, DIM), inputs.ravel(), len(w["e"]))
     return loss / float(n), g
 
 
@@ -276,12 +319,23 @@ class Adam:
         self.m, self.s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        """One step; the gradients are overwritten."""
         self.t += 1
-        w, m, s, t = self.w, self.m, self.s, self.t
+        late = math.sqrt(1 - 0.99**self.t)
         for k, x in g.items():
-            m[k] += 0.1 * (x - m[k])
-            s[k] += 0.01 * (x * x - s[k])
-            w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            m, s = self.m[k], self.s[k]
+            change = x - m
+            change *= 0.1
+            m += change
+            x *= x
+            x -= s
+            x *= 0.01
+            s += x
+            np.sqrt(s, out=change)
+            change += 1e-8 * late
+            np.divide(m, change, out=change)
+            change *= rate * late / (1 - 0.9**self.t)
+            self.w[k] -= change
 
 
 def train(counts: np.ndarray, texts: list[np.ndarray], steps: int = 1600, batch: int = 48, seed: int = 7) -> Model:
@@ -304,35 +358,10 @@ def train(counts: np.ndarray, texts: list[np.ndarray], steps: int = 1600, batch:
 
 
 class Scorer:
-    """A model with its projections folded into tables per input, for scoring without gradients."""
+    """Scores of texts by a model."""
 
     def __init__(self, model: Model):
-        w, self.model = model.w, model
-        scale = np.float32(1 / math.sqrt(DIM))
-        # Keys, values, and a one that gathers the attention's total.
-        self.early = np.concatenate([w["e"] @ w["k"] * scale, w["e"] @ w["v"], np.ones((len(w["e"]), 1), dtype=np.float32)], axis=1)
-        self.early_at = np.concatenate([w["p"] @ w["k"] * scale, w["p"] @ w["v"], np.zeros((WINDOW, 1), dtype=np.float32)], axis=1)
-        self.late = np.concatenate([w["e"], w["e"] @ w["q"]], axis=1)
-        self.late_at = np.concatenate([w["p"], w["p"] @ w["q"]], axis=1)[BEFORE:]
-        self.mask = np.where(_CAUSAL, np.float32(0), np.float32(-1e30))
-
-    def tops(self, inputs: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """The hidden rows of the targets; ``heads`` are the blocks that begin a text."""
-        w, n = self.model.w, len(inputs)
-        kv = self.early[inputs] + self.early_at
-        eq = self.late[inputs[:, BEFORE:]] + self.late_at
-        z = np.matmul(eq[:, :, DIM:], kv[:, :, :DIM].transpose(0, 2, 1))
-        z += self.mask
-        z[heads, :, :BEFORE] = -1e30
-        np.minimum(z, CAP, out=z)
-        np.exp(z, out=z)
-        both = np.matmul(z, kv[:, :, DIM:])
-        mid = both[:, :, :DIM] / (both[:, :, DIM:] + TINY)
-        mid += eq[:, :, :DIM]
-        mid = mid.reshape(n * STRIDE, DIM)
-        act = mid @ w["h"]
-        np.maximum(act, 0, out=act)
-        return mid + act @ w["o"]
+        self.model = model
 
     def __call__(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each text, given as in ``blocks``."""
@@ -349,10 +378,10 @@ class Scorer:
         for i in range(0, len(text), PART):
             part = slice(i, i + PART)
             place = at[part][:, None] + np.arange(-BEFORE, STRIDE)
-            top = self.tops(feed[np.minimum(place + BEFORE, len(feed) - 1)], np.flatnonzero(begin[part] == 0))
+            top = _forward(model.w, feed[np.minimum(place + BEFORE, len(feed) - 1)], np.flatnonzero(begin[part] == 0))[-1]
             real = np.flatnonzero((begin[part][:, None] + np.arange(STRIDE) < n[text[part]][:, None]).ravel())
             where = place[:, BEFORE:].ravel()[real]
-            each[where] = _log_class(model.w, top[real] if len(real) < len(top) else top, cls[where])
+            each[where] = _log_class(model.w, top, cls[where], real)
         each /= math.log(10)
         each += model.log_in_class[ids]
         total = np.concatenate([[0], np.cumsum(each)])
@@ -379,6 +408,17 @@ def _row(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _GATHERED], schema=_GATHERED)
 
 
+def _packed(pieces: np.ndarray, size: int) -> bytes:
+    """Blocks by two bytes an id where they hold all ids; the greatest number stands for -1."""
+    return pieces.astype("<u2" if size < 65535 else "<u4").tobytes()
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    kind = np.dtype("<u2" if size < 65535 else "<u4")
+    pieces = np.frombuffer(packed, dtype=kind).reshape(-1, WINDOW + 1)
+    return np.where(pieces == np.iinfo(kind).max, -1, pieces.astype(np.int32))
+
+
 def _gathered(vocabulary, share: int) -> Callable:
     """Word counts (h, n) of each task, its subword counts (counts), and the blocks that teach in each round."""
 
@@ -402,8 +442,9 @@ def _gathered(vocabulary, share: int) -> Callable:
                 text, begin = starts(first)
                 lot = mix(docs[words.rows.start + text].astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + begin.astype(_U)) % _U(share * len(ROUNDS))
                 for i in range(len(ROUNDS)):
-                    if len(some := np.flatnonzero(lot == i)):
-                        yield _row(round=[i], blocks=[blocks(ids, first, subwords.size, some)[2].tobytes()])
+                    some = np.flatnonzero(lot == i)
+                    for at in range(0, len(some), ROW):
+                        yield _row(round=[i], blocks=[_packed(blocks(ids, first, subwords.size, some[at : at + ROW])[2], subwords.size)])
                 held.append((kinds, np.bincount(inverse, minlength=len(kinds))))
                 if sum(len(x) for x, _ in held) > 1_000_000:
                     held[:] = [merged()]
@@ -449,7 +490,7 @@ def _learned(held, rate: float) -> Callable:
             return int(np.count_nonzero(real[:, BEFORE:]))
 
         for batch in batches:
-            new = np.concatenate([left, *(np.frombuffer(x.as_buffer(), dtype="<i4").reshape(-1, WINDOW + 1) for x in batch.column("blocks"))])
+            new = np.concatenate([left, *(_unpacked(x.as_buffer(), len(model.class_of) - 1) for x in batch.column("blocks"))])
             new, whole = new[rng.permutation(len(new))], len(new) // STEP * STEP
             n += sum(step(new[i : i + STEP]) for i in range(0, whole, STEP))
             left = new[whole:].copy()
@@ -493,7 +534,7 @@ def _total(pdf):
     return pd.DataFrame({"counts": [np.sum([np.frombuffer(x, dtype=np.int64) for x in pdf["counts"]], axis=0).tobytes()]})
 
 
-def score(docs: DataFrame, model_file: str, train_docs: int = 1000, share: int = 20) -> DataFrame:
+def score(docs: DataFrame, model_file: str, train_docs: int = 1000, share: int = 1) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     from pyspark import TaskContext
 

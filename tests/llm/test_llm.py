@@ -391,6 +391,27 @@ def test_lm_learns_from_documents_outside_the_sample(spark):
     assert scores[0] > scores[1] + 0.02
 
 
+def test_lm_learns_every_block(spark, monkeypatch):
+    """Without parameters, all blocks of all training documents teach, each once; a very long text's lie in several rows."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["sun", "moon", "Tide", "quartz"]) for _ in range(rng.randint(0, 200)))) for i in range(40)]
+    rows += [(40, " ".join(rng.choice("abc") for _ in range(600_000))), (41, None), (None, "not learned from")]
+    taught = []
+
+    def refine(gathered, model):
+        for r in gathered.where("blocks is not null").collect():
+            taught.append(lm._unpacked(r["blocks"], len(model.class_of) - 1))
+        return model
+
+    monkeypatch.setattr(lm, "refine", refine)
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY)
+    subwords = lm.Subwords(textkit.vocabulary_bytes(VOCABULARY))
+    training = [(text or "").encode() for i, text in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    ids, first = lm.with_ends(subwords, textkit.words_of(training))[:2]
+    every = lm.blocks(ids, first, subwords.size)[2]
+    assert max(map(len, taught)) == lm.ROW and sorted(map(bytes, np.concatenate(taught).astype("<i4"))) == sorted(map(bytes, every))
+
+
 def test_chaining(spark, docs, empty):
     rng = random.Random(8)
     text = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
