@@ -173,6 +173,18 @@ def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 _MASK = np.where(np.arange(WINDOW)[None, :] <= (np.arange(STRIDE) + BEFORE)[:, None], np.float32(0), np.float32(-1e30))
 
+_ZEROS = np.zeros(HIDDEN, dtype=np.float32)
+
+
+def _cap(logits: np.ndarray) -> None:
+    if logits.max(initial=0) > CAP:  # seldom so, and much faster to find than to cap
+        np.minimum(logits, CAP, out=logits)
+
+
+def _exp(logits: np.ndarray) -> None:
+    _cap(logits)
+    np.exp(logits, out=logits)
+
 
 def _forward(w, inputs: np.ndarray, heads: np.ndarray):
     """The hidden rows of the targets, last, and what their gradient needs; ``heads`` are the blocks that begin a text.
@@ -180,7 +192,7 @@ def _forward(w, inputs: np.ndarray, heads: np.ndarray):
     Queries after a text's end see what lies there; no target stands at them.
     """
     n = len(inputs)
-    x = w["e"][inputs]
+    x = w["e"].take(inputs, axis=0)
     x += w["p"]
     late = x[:, BEFORE:].reshape(-1, DIM)
     x = x.reshape(-1, DIM)
@@ -192,14 +204,13 @@ def _forward(w, inputs: np.ndarray, heads: np.ndarray):
     z = np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1))
     z += _MASK
     z[heads, :, :BEFORE] = -1e30
-    np.minimum(z, CAP, out=z)
-    np.exp(z, out=z)
+    _exp(z)
     seen = np.matmul(z, kv[:, :, DIM:]).reshape(-1, DIM + 1)
     total = 1 / (seen[:, DIM:] + TINY)
     seen = seen[:, :DIM] * total
     mid = late + seen
     act = mid @ w["h"]
-    np.maximum(act, 0, out=act)
+    np.maximum(act, _ZEROS, out=act)  # a row of zeros, since a single one is compared value by value
     top = act @ w["o"]
     top += mid
     return x, late, q, kv, z, total, seen, mid, act, top
@@ -221,7 +232,7 @@ def _logits(w, top: np.ndarray, cls: np.ndarray, at: np.ndarray | None = None):
     """Rows of ``top``, those ``at`` or all, by their classes' groups, each with a one; their order; the groups' edges; logits of both levels."""
     order, edges = _sorted_groups(cls // SLOTS)
     t = np.empty((len(order), DIM + 1), dtype=top.dtype)
-    t[:, :DIM] = top[order if at is None else at[order]]
+    t[:, :DIM] = top.take(order if at is None else at[order], axis=0)
     t[:, DIM] = 1
     coarse, fine = t @ np.concatenate([w["u"], w["b"][None]]), np.empty((len(order), SLOTS), dtype=top.dtype)
     each = np.concatenate([w["u2"], w["b2"][:, None]], axis=1)
@@ -235,7 +246,7 @@ def _log_target(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
 
     Trained logits lie within a few tens, so a cap stands in for the usual shift by the maximum.
     """
-    np.minimum(logits, CAP, out=logits)
+    _cap(logits)
     chosen = logits.ravel()[np.arange(len(target)) * logits.shape[1] + target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype) + TINY)
@@ -251,8 +262,7 @@ def _log_class(w, top: np.ndarray, cls: np.ndarray, at: np.ndarray | None = None
 
 def _errors(logits: np.ndarray, target: np.ndarray, n: np.float32) -> float:
     """Loss of the targets; overwrites the logits by its gradient over ``n``."""
-    np.minimum(logits, CAP, out=logits)
-    np.exp(logits, out=logits)
+    _exp(logits)
     logits *= (1 / (logits @ np.full(logits.shape[1], n, dtype=logits.dtype) + TINY))[:, None]
     flat, at = logits.ravel(), np.arange(len(target)) * logits.shape[1] + target
     p = flat[at]
@@ -266,7 +276,7 @@ def _sums(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     kinds = at[order]
     edge = np.flatnonzero(np.diff(kinds, prepend=-1))
     out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
-    out[kinds[edge]] = np.add.reduceat(rows[order], edge, axis=0)
+    out[kinds[edge]] = np.add.reduceat(rows.take(order, axis=0), edge, axis=0)
     return out
 
 

@@ -391,6 +391,30 @@ def test_lm_learns_from_documents_outside_the_sample(spark):
     assert scores[0] > scores[1] + 0.02
 
 
+def test_lm_gradients_are_those_of_the_loss():
+    """Against central differences in double precision, with texts shorter and longer than a block, and finite beyond the cap."""
+    rng = np.random.default_rng(2)
+    model = lm.train(rng.integers(0, 50, 700), [], steps=0)
+    w = {k: x.astype(np.float64) for k, x in model.w.items()}
+    n = np.array([1, 5, 32, 33, 100])
+    ids, first = rng.integers(0, 699, n.sum()), np.concatenate([[0], np.cumsum(n)])
+    ids[first[1:] - 1] = 699
+    part = lm.lesson(model, lm.blocks(ids, first, 699)[2])
+    _, g = lm.gradients(w, *part)
+    assert g.keys() == w.keys()
+    for k, x in w.items():
+        for i in np.argsort(-np.abs(g[k]).ravel())[:3]:
+            kept, losses = x.flat[i], []
+            for step in (1e-4, -1e-4):
+                x.flat[i] = kept + step
+                losses.append(lm.gradients(w, *part)[0])
+            x.flat[i] = kept
+            assert math.isclose((losses[0] - losses[1]) / 2e-4, np.asarray(g[k]).ravel()[i], rel_tol=1e-3), k
+    far = {k: x * np.float32(30) for k, x in model.w.items()}
+    assert all(np.isfinite(x).all() for x in lm.gradients(far, *part)[1].values())
+    assert np.isfinite(lm.log10_texts(lm.Model(model.input_of, model.class_of, model.log_in_class, far), ids, first)).all()
+
+
 def test_lm_learns_every_block(spark, monkeypatch):
     """Without parameters, all blocks of all training documents teach, each once; a very long text's lie in several rows."""
     rng = random.Random(4)
