@@ -3,8 +3,10 @@
 Words are lower-cased (A-Z) runs of non-space bytes, with one end token after the last. The base
 score is their smoothed unigram log-probability, from exact counts over all training documents.
 
-The model reads the subword ids of a fixed public vocabulary. One layer of masked single-head
-attention over at most ``WINDOW`` ids and a small hidden layer feed a softmax of two levels: over
+The model reads the subword ids of a fixed public vocabulary. A place's row is the sum of what its
+id and the id before it bring. One layer of masked single-head attention over at most ``KEYS`` rows
+has a query at each ``EVERY``-th place; a target takes what the last query saw and the row of its own
+place, which holds the ids since then, to a hidden layer. That feeds a softmax of two levels: over
 ``GROUPS`` groups, then over the ``SLOTS`` classes of the target's group. The most frequent ids
 are classes of their own, and the rest share the last group's classes by frequency in equal
 mass; the probability of an id in a shared class comes from subword counts over all training
@@ -43,15 +45,16 @@ from .textkit import Words, chunks, mix, text_bytes, tidy, vocabulary_bytes
 
 GROUPS, SLOTS, INPUTS, HASHED = 32, 32, 2048, 256
 PART = 128  # blocks that are scored at once
-ROUNDS = (0.004, 0.0015)  # rate of each round over its part of the blocks
-STEP = 128  # blocks of a step in a round
+ROUNDS = (0.02, 0.003)  # rate of each round over its part of the blocks
+STEP = 256  # blocks of a step in a round
 ROW = 8192  # blocks that are stored as one
 TEXT_CHUNK = 2 << 20
 CAP, TINY = np.float32(60), np.float32(1e-30)
-STRIDE, BEFORE = 32, 8
+STRIDE, BEFORE = 32, 9
 WINDOW = BEFORE + STRIDE
-DIM, HIDDEN = 24, 48
-_SCALE = np.float32(1 / math.sqrt(DIM))
+KEYS = WINDOW - 1  # the first id of a window is only the one before its first row
+EVERY = 2  # more would hide ids from some targets
+DIM, HIDDEN = 16, 24  # one of the hidden values is a constant
 HEAD = 1 << 18
 END_WORD = int(mix(np.array([0x0E0D], dtype=np.uint64)).view(np.int64)[0])
 CACHE = 400_000  # some 15 MB
@@ -59,6 +62,17 @@ HELD_OUT = 1
 _U = np.uint64
 
 
+def _kinds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``np.unique``: distinct values, a place of each, and which each has; by a sort that need not be stable and is faster."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(order), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 class Subwords:
     """Ids of words; each distinct word is segmented once while it stays in the cache of ``CACHE`` words."""
 
@@ -84,7 +98,7 @@ class Subwords:
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the chunk in order, the number of each word's ids, the distinct hashes, and which of them each word has."""
-        kinds, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        kinds, first, inverse = _kinds(words.hashes)
         if len(self.keys) > CACHE:
             self._clear()
         at = np.searchsorted(self.keys, kinds)
@@ -92,9 +106,12 @@ class Subwords:
         missing |= at == len(self.keys)
         if len(new := np.flatnonzero(missing)):
             word = first[new]
-            coded = self.model.encode([words.data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[word].tolist(), words.ends[word].tolist())], num_threads=1)
-            coded = [x or [0] for x in coded]
+            # One text of the words, which hold no space, is decoded faster than each of them.
+            text = b" ".join([words.data[a:b] for a, b in zip(words.starts[word].tolist(), words.ends[word].tolist())])
+            coded = self.model.encode(text.decode("utf-8", "replace").split(" "), num_threads=1)
             n = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+            if not n.all():
+                coded, n = [x or [0] for x in coded], np.maximum(n, 1)
             self.keys = np.insert(self.keys, at[new], kinds[new])
             self.begin = np.insert(self.begin, at[new], len(self.flat) + np.cumsum(n) - n)
             self.n = np.insert(self.n, at[new], n)
@@ -167,11 +184,13 @@ def lesson(model: Model, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
     s = 1 / math.sqrt(DIM)
-    shapes = {"e": (INPUTS + HASHED + 1, DIM), "p": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "h": (DIM, HIDDEN), "o": (HIDDEN, DIM), "u": (DIM, GROUPS), "b": (GROUPS,), "u2": (GROUPS, DIM, SLOTS), "b2": (GROUPS, SLOTS)}
-    return {k: (np.zeros(x) if k in ("b", "b2") else rng.normal(0, s, x)).astype(np.float32) for k, x in shapes.items()}
+    shapes = {"e": (INPUTS + HASHED + 1, 2 * DIM), "p": (KEYS, DIM), "q": (DIM, DIM), "h": (DIM, HIDDEN), "s": (DIM, HIDDEN), "u": (HIDDEN, GROUPS), "u2": (GROUPS, HIDDEN, SLOTS)}
+    w = {k: rng.normal(0, s, x).astype(np.float32) for k, x in shapes.items()}
+    w["q"] *= np.float32(s)
+    return w
 
 
-_MASK = np.where(np.arange(WINDOW)[None, :] <= (np.arange(STRIDE) + BEFORE)[:, None], np.float32(0), np.float32(-1e30))
+_MASK = np.where(np.arange(KEYS)[None, :] < (np.arange(0, STRIDE, EVERY) + BEFORE)[:, None], np.float32(0), np.float32(-1e30))
 
 _ZEROS = np.zeros(HIDDEN, dtype=np.float32)
 
@@ -192,33 +211,32 @@ def _forward(w, inputs: np.ndarray, heads: np.ndarray):
     Queries after a text's end see what lies there; no target stands at them.
     """
     n = len(inputs)
-    x = w["e"].take(inputs, axis=0)
+    here, after = (np.ascontiguousarray(w["e"][:, i : i + DIM]) for i in (0, DIM))
+    x = here.take(inputs[:, 1:], axis=0)
+    x += after.take(inputs[:, :-1], axis=0)
     x += w["p"]
-    late = x[:, BEFORE:].reshape(-1, DIM)
-    x = x.reshape(-1, DIM)
-    q = (late @ (w["q"] * _SCALE)).reshape(n, STRIDE, DIM)
-    # Keys, values, and a one that gathers the attention's total.
-    kv = x @ np.concatenate([w["k"], w["v"], np.zeros((DIM, 1), dtype=np.float32)], axis=1)
-    kv[:, 2 * DIM] = 1
-    kv = kv.reshape(n, WINDOW, 2 * DIM + 1)
-    z = np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1))
+    late = x[:, BEFORE - 1 :].reshape(-1, DIM)
+    asks = late[::EVERY]
+    q = (asks @ w["q"]).reshape(n, -1, DIM)
+    turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+    z = np.matmul(q, turned)
     z += _MASK
-    z[heads, :, :BEFORE] = -1e30
+    z[heads, :, : BEFORE - 1] = -1e30
     _exp(z)
-    seen = np.matmul(z, kv[:, :, DIM:]).reshape(-1, DIM + 1)
-    total = 1 / (seen[:, DIM:] + TINY)
-    seen = seen[:, :DIM] * total
-    mid = late + seen
-    act = mid @ w["h"]
-    np.maximum(act, _ZEROS, out=act)  # a row of zeros, since a single one is compared value by value
-    top = act @ w["o"]
-    top += mid
-    return x, late, q, kv, z, total, seen, mid, act, top
+    total = 1 / (z.reshape(-1, KEYS) @ np.ones(KEYS, dtype=z.dtype) + TINY)
+    seen = np.matmul(z, x).reshape(-1, DIM)
+    seen *= total[:, None]
+    top = late @ w["h"]
+    several = top.reshape(-1, EVERY * HIDDEN)
+    several += seen @ np.tile(w["s"], EVERY)
+    np.maximum(top, _ZEROS, out=top)  # a row of zeros, since a single one is compared value by value
+    top[:, -1] = 1  # brings in the classes' own weights
+    return x, turned, late, asks, q, z, total, seen, top
 
 
 def _attend(w, inputs: np.ndarray, real: np.ndarray):
     *parts, top = _forward(w, inputs, np.flatnonzero(~real[:, BEFORE - 1]))
-    return *parts, top.reshape(len(inputs), STRIDE, DIM)
+    return *parts, top.reshape(len(inputs), STRIDE, HIDDEN)
 
 
 def _sorted_groups(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -229,15 +247,12 @@ def _sorted_groups(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int,
 
 
 def _logits(w, top: np.ndarray, cls: np.ndarray, at: np.ndarray | None = None):
-    """Rows of ``top``, those ``at`` or all, by their classes' groups, each with a one; their order; the groups' edges; logits of both levels."""
+    """Rows of ``top``, those ``at`` or all, by their classes' groups; their order; the groups' edges; logits of both levels."""
     order, edges = _sorted_groups(cls // SLOTS)
-    t = np.empty((len(order), DIM + 1), dtype=top.dtype)
-    t[:, :DIM] = top.take(order if at is None else at[order], axis=0)
-    t[:, DIM] = 1
-    coarse, fine = t @ np.concatenate([w["u"], w["b"][None]]), np.empty((len(order), SLOTS), dtype=top.dtype)
-    each = np.concatenate([w["u2"], w["b2"][:, None]], axis=1)
+    t = top.take(order if at is None else at[order], axis=0)
+    coarse, fine = t @ w["u"], np.empty((len(order), SLOTS), dtype=top.dtype)
     for g, begin, end in edges:
-        np.matmul(t[begin:end], each[g], out=fine[begin:end])
+        np.matmul(t[begin:end], w["u2"][g], out=fine[begin:end])
     return t, order, edges, coarse, fine
 
 
@@ -272,52 +287,59 @@ def _errors(logits: np.ndarray, target: np.ndarray, n: np.float32) -> float:
 
 def _sums(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A table of ``size`` rows, each the sum of the ``rows`` that lie ``at`` it."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at.astype(np.uint16)
+    order = np.argsort(at, kind="stable")
     kinds = at[order]
-    edge = np.flatnonzero(np.diff(kinds, prepend=-1))
+    edge = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
     out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
-    out[kinds[edge]] = np.add.reduceat(rows.take(order, axis=0), edge, axis=0)
+    twos = np.result_type(rows.dtype, np.complex64)  # adds two numbers at once
+    out[kinds[edge]] = np.add.reduceat(rows.take(order, axis=0).view(twos), edge, axis=0).view(rows.dtype)
     return out
 
 
 def gradients(w, inputs, real, classes) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the real targets, and its gradient."""
-    x, late, q, kv, z, total, seen, mid, act, top = _forward(w, inputs, np.flatnonzero(~real[:, BEFORE - 1]))
+    x, turned, late, asks, q, z, total, seen, top = _forward(w, inputs, np.flatnonzero(~real[:, BEFORE - 1]))
     at = np.flatnonzero(real[:, BEFORE:])
     n, cls = np.float32(max(1, len(at))), classes.ravel()[at]
     t, order, edges, d, fine = _logits(w, top, cls, at)
     cls = cls[order]
     loss = _errors(d, cls // SLOTS, n) + _errors(fine, cls % SLOTS, n)
-    gu, gu2 = t.T @ d, np.zeros((GROUPS, DIM + 1, SLOTS), dtype=top.dtype)
-    dt, more, back = d @ w["u"].T, np.empty((len(t), DIM), dtype=top.dtype), np.ascontiguousarray(w["u2"].transpose(0, 2, 1))
+    g = {"u": t.T @ d, "u2": np.zeros((GROUPS, HIDDEN, SLOTS), dtype=top.dtype)}
+    dt, more, back = np.zeros((len(t) + 1, HIDDEN), dtype=top.dtype), np.empty((len(t), HIDDEN), dtype=top.dtype), np.ascontiguousarray(w["u2"].transpose(0, 2, 1))
     for i, begin, end in edges:
-        np.matmul(t[begin:end].T, fine[begin:end], out=gu2[i])
-        np.matmul(fine[begin:end], back[i], out=more[begin:end])
-    dt += more
-    dtop = np.zeros_like(top)
-    dtop[at[order]] = dt
-    g = {"u": gu[:DIM], "b": gu[DIM], "u2": gu2[:, :DIM], "b2": gu2[:, DIM], "o": act.T @ dtop}
-    dact = dtop @ w["o"].T
-    dact *= act > 0
-    g["h"] = mid.T @ dact
-    dmid = dact @ w["h"].T
-    dmid += dtop
-    # By the attention's unscaled weights z: what is seen is their product with the values over their total.
-    dseen = np.empty((len(dmid), DIM + 1), dtype=top.dtype)
-    np.multiply(dmid, total, out=dseen[:, :DIM])
-    dseen[:, DIM] = -((dseen[:, :DIM] * seen) @ np.ones(DIM, dtype=top.dtype))
-    dseen = dseen.reshape(len(inputs), STRIDE, DIM + 1)
-    dkv = np.empty((len(inputs), WINDOW, 2 * DIM), dtype=top.dtype)
-    np.matmul(z.transpose(0, 2, 1), dseen[:, :, :DIM], out=dkv[:, :, DIM:])
-    z *= np.matmul(dseen, kv[:, :, DIM:].transpose(0, 2, 1))
-    np.matmul(z.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
-    dq, dkv = np.matmul(z, kv[:, :, :DIM]).reshape(-1, DIM) * _SCALE, dkv.reshape(-1, 2 * DIM)
-    gkv = x.T @ dkv
-    g["q"], g["k"], g["v"] = late.T @ dq, gkv[:, :DIM], gkv[:, DIM:]
-    dx = (dkv @ np.concatenate([w["k"].T, w["v"].T])).reshape(len(inputs), WINDOW, DIM)
-    dmid += dq @ w["q"].T
-    dx[:, BEFORE:] += dmid.reshape(len(inputs), STRIDE, DIM)
-    g["p"], g["e"] = dx.sum(axis=0), _sums(dx.reshape(-1, DIM), inputs.ravel(), len(w["e"]))
+        part = fine[begin:end]
+        np.matmul(t[begin:end].T, part, out=g["u2"][i])
+        np.matmul(part, back[i], out=more[begin:end])
+    np.matmul(d, w["u"].T, out=dt[:-1])
+    dt[:-1] += more
+    dt[:-1] *= t > 0
+    dt[:, -1] = 0
+    place = np.full(len(top), len(t))  # the row of zeros, where no target is
+    place[at[order]] = np.arange(len(t))
+    dtop = dt.take(place, axis=0)
+    g["h"], dlate = late.T @ dtop, dtop @ w["h"].T
+    several = dtop.reshape(-1, EVERY * HIDDEN)
+    g["s"] = (seen.T @ several).reshape(DIM, EVERY, HIDDEN).sum(axis=1)
+    # By the attention's unscaled weights z: what is seen is their product with the rows x over their total.
+    dseen = several @ np.tile(w["s"], EVERY).T
+    dseen *= total[:, None]
+    less = (dseen * seen) @ np.ones(DIM, dtype=top.dtype)
+    dseen = dseen.reshape(q.shape)
+    dx = np.matmul(z.transpose(0, 2, 1), dseen)
+    dz = np.matmul(dseen, turned)
+    dz -= less.reshape(len(inputs), -1, 1)
+    dz *= z
+    dx += np.matmul(dz.transpose(0, 2, 1), q)
+    dq = np.matmul(dz, x).reshape(-1, DIM)
+    g["q"] = asks.T @ dq
+    dlate[::EVERY] += dq @ w["q"].T
+    dx[:, BEFORE - 1 :] += dlate.reshape(len(inputs), STRIDE, DIM)
+    dpair = np.empty((len(inputs), KEYS + 1, 2 * DIM), dtype=top.dtype)
+    dpair[:, 0, :DIM] = dpair[:, -1, DIM:] = 0
+    dpair[:, 1:, :DIM] = dx
+    dpair[:, :-1, DIM:] = dx
+    g["p"], g["e"] = dx.sum(axis=0), _sums(dpair.reshape(-1, 2 * DIM), inputs.ravel(), len(w["e"]))
     return loss / float(n), g
 
 
@@ -355,7 +377,7 @@ def train(counts: np.ndarray, texts: list[np.ndarray], steps: int = 1600, batch:
     w = fresh(rng)
     end_id = len(counts) - 1
     share = np.bincount(class_of, counts + 0.5, minlength=GROUPS * SLOTS).reshape(GROUPS, SLOTS) + 1e-3
-    w["b"], w["b2"] = np.log(share.sum(axis=1)).astype(np.float32), np.log(share).astype(np.float32)
+    w["u"][-1], w["u2"][:, -1] = np.log(share.sum(axis=1)), np.log(share)
     if texts:
         first = np.cumsum([0, *map(len, texts)])
         inputs, real, classes = lesson(Model(input_of, class_of, log_in_class, w), blocks(np.concatenate(texts), first, end_id)[2])
@@ -388,7 +410,9 @@ class Scorer:
         for i in range(0, len(text), PART):
             part = slice(i, i + PART)
             place = at[part][:, None] + np.arange(-BEFORE, STRIDE)
-            top = _forward(model.w, feed[np.minimum(place + BEFORE, len(feed) - 1)], np.flatnonzero(begin[part] == 0))[-1]
+            inputs, heads = feed[np.minimum(place + BEFORE, len(feed) - 1)], np.flatnonzero(begin[part] == 0)
+            inputs[heads, :BEFORE] = model.input_of[end_id]
+            top = _forward(model.w, inputs, heads)[-1]
             real = np.flatnonzero((begin[part][:, None] + np.arange(STRIDE) < n[text[part]][:, None]).ravel())
             where = place[:, BEFORE:].ravel()[real]
             each[where] = _log_class(model.w, top, cls[where], real)
