@@ -44,11 +44,11 @@ from .scratch import bounded, keep
 from .textkit import Words, chunks, mix, text_bytes, tidy, vocabulary_bytes
 
 GROUPS, SLOTS, INPUTS, HASHED = 32, 32, 2048, 256
-PART = 128  # blocks that are scored at once
+PART = 256  # blocks that are scored at once
 ROUNDS = (0.02, 0.003)  # rate of each round over its part of the blocks
 STEP = 256  # blocks of a step in a round
 ROW = 8192  # blocks that are stored as one
-TEXT_CHUNK = 2 << 20
+TEXT_CHUNK = 1 << 20
 CAP, TINY = np.float32(60), np.float32(1e-30)
 STRIDE, BEFORE = 32, 9
 WINDOW = BEFORE + STRIDE
@@ -179,7 +179,7 @@ def lesson(model: Model, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Inputs, which places are real, and target classes of blocks."""
     real = pieces[:, 1:] >= 0
     real[:, BEFORE - 1] &= pieces[:, BEFORE] != len(model.class_of) - 1  # the end id before a text is no place of it
-    return model.input_of[pieces[:, :-1]], real, model.class_of[pieces[:, BEFORE + 1 :]]
+    return model.input_of.take(pieces[:, :-1]), real, model.class_of.take(pieces[:, BEFORE + 1 :])
 
 
 def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -385,7 +385,7 @@ def train(counts: np.ndarray, texts: list[np.ndarray], steps: int = 1600, batch:
         for t in range(1, steps + 1):
             at = rng.integers(0, len(inputs), batch)
             _, g = gradients(w, inputs[at], real[at], classes[at])
-            adam.step(g, 0.01 * min(1, t / 50) * (1 - 0.9 * t / steps))
+            adam.step(g, 0.02 * min(1, t / 50) * (1 - 0.9 * t / steps))
     return Model(input_of, class_of, log_in_class, w)
 
 
@@ -410,12 +410,12 @@ class Scorer:
         for i in range(0, len(text), PART):
             part = slice(i, i + PART)
             place = at[part][:, None] + np.arange(-BEFORE, STRIDE)
-            inputs, heads = feed[np.minimum(place + BEFORE, len(feed) - 1)], np.flatnonzero(begin[part] == 0)
+            inputs, heads = feed.take(place + BEFORE, mode="clip"), np.flatnonzero(begin[part] == 0)
             inputs[heads, :BEFORE] = model.input_of[end_id]
             top = _forward(model.w, inputs, heads)[-1]
             real = np.flatnonzero((begin[part][:, None] + np.arange(STRIDE) < n[text[part]][:, None]).ravel())
             where = place[:, BEFORE:].ravel()[real]
-            each[where] = _log_class(model.w, top, cls[where], real)
+            each[where] = _log_class(model.w, top, cls.take(where), real)
         each /= math.log(10)
         each += model.log_in_class[ids]
         total = np.concatenate([[0], np.cumsum(each)])
@@ -620,7 +620,7 @@ def score(docs: DataFrame, model_file: str, train_docs: int = 1000, share: int =
                 hit = (known[place] == kinds if len(known) else np.zeros(len(kinds), dtype=bool))[inverse]
                 place = place[inverse]
                 owner, n = words.owner, len(words.rows)
-                base = np.bincount(owner[hit], value[place[hit]], minlength=n)
+                base = np.bincount(owner[hit], value[place[hit]], minlength=n).astype(np.float64)  # of no word the sums are integers
                 found = np.bincount(owner[hit], minlength=n)
                 rare, counts_rare = words.hashes[~hit].view(np.int64), np.bincount(owner[~hit], minlength=n)
                 tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts_rare)]).astype(np.int32)), pa.array(rare))

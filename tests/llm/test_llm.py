@@ -371,6 +371,14 @@ def test_lm_is_a_distribution_and_windows_agree():
     assert len(row) == 100 and math.isclose(plain, lm.log10_texts(model, long, np.array([0, 100]))[0], rel_tol=1e-4)
 
 
+def test_lm_scores_empty_texts_after_a_long_one(spark):
+    """In one task, the empty texts being a chunk of their own."""
+    rows = [(1, "a b " * (lm.TEXT_CHUNK // 4 + 1)), (2, ""), (3, None)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), VOCABULARY, train_docs=0).collect()}
+    assert got[1]["n_tokens"] == lm.TEXT_CHUNK // 2 + 3 and got[2]["n_tokens"] == got[3]["n_tokens"] == 1
+    assert got[2]["score"] == got[3]["score"] < 0 and got[2]["base_score"] == got[3]["base_score"] < 0
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     """Prose of syllables in two languages, of which a word may be new but its syllables are not."""
     rows = [(i, text) for i, text, *_ in made(900, seed=5)[:900]]
