@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runstore.schema import MAX_SLICES, ROW_BYTES, SLICE_BYTES
+
 
 def _ordinals(sizes: np.ndarray, limit: int, held: int, ordinal: int) -> tuple[np.ndarray, int, int]:
     """The run of each of one shard's next mutations; ``held`` bytes lie in the open run ``ordinal``.
@@ -30,35 +34,128 @@ def _ordinals(sizes: np.ndarray, limit: int, held: int, ordinal: int) -> tuple[n
     return out, held, ordinal
 
 
-def _segments(limit: int, shards: int) -> Callable:
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The cell of a task and its batches."""
+    now = None
+    for batch in batches:
+        if batch.num_rows:
+            cell = batch.column("cell").to_numpy()
+            now = int(cell[0]) if now is None else now
+            if (cell != now).any():
+                raise RuntimeError("a task has mutations of two cells")
+            yield now, batch
+
+
+def _segments(limit: int, shards: int, slices: int) -> Callable:
+    """Fold a cell in order; the row before its mutations, where there is one, has the state that it begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ordinal = 0, 0
+        for cell, batch in _own(batches):
+            if batch.column("begin")[0].is_valid:
+                held, ordinal, batch = batch.column("size")[0].as_py(), batch.column("begin")[0].as_py(), batch.slice(1)
+            own, held, ordinal = _ordinals(batch.column("size").to_numpy(), limit, held, ordinal)
+            yield pa.RecordBatch.from_arrays([pa.array(own * shards + cell // slices), *(batch.column(c) for c in ("seq", "op", "key", "value"))], names=["run_id", "seq", "op", "key", "value"])
+
+    return run
+
+
+def _course(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a slice of one shard's mutations goes on from any run that is open before it.
+
+    For each mutation that can be the first to begin a run: the bytes up to and with it, the runs
+    closed after that in the slice, and the bytes then held. The last bytes are those of the slice.
+    """
+    total = np.cumsum(sizes)
+    before = total - sizes
+    last = np.arange(max(1, int(np.searchsorted(before, limit))))
+    closed = np.zeros(len(last), dtype=np.int64)
+    while True:  # all courses a run further; the first pair of a run may be larger than the limit
+        after = np.maximum(np.searchsorted(total, before[last] + limit, side="right"), np.searchsorted(total, before[last], side="right") + 1)
+        on = after < len(total)
+        if not on.any():
+            break
+        last[on] = after[on]
+        closed += on
+    return np.append(total[: len(last)], total[-1]), closed, total[-1] - before[last]
+
+
+def _left(course: tuple[np.ndarray, np.ndarray, np.ndarray], limit: int, held: int, ordinal: int) -> tuple[int, int]:
+    """The state behind a slice that begins with ``held`` bytes in the open run ``ordinal``."""
+    total, closed, holds = course
+    if held and held + int(total[-1]) <= limit:
+        return held + int(total[-1]), ordinal
+    at = int(np.searchsorted(total[:-1], limit - held, side="right")) if held else 0
+    return int(holds[at]), ordinal + int(closed[at]) + bool(held)
+
+
+def _courses(limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ordinal = None, 0, 0
+        cell, sizes = None, []
+        for cell, batch in _own(batches):
+            sizes.append(batch.column("size").to_numpy().copy())
+        if sizes:
+            parts = _course(np.concatenate(sizes), limit)
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in parts)], names=["cell", "total", "closed", "holds"])
+
+    return run
+
+
+def _entries(limit: int, slices: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, ordinal = None, 0, 0
         for batch in batches:
-            shard, size = batch.column("shard").to_numpy(), batch.column("size").to_numpy()
-            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            ids = np.empty(len(shard), dtype=np.int64)
-            for begin, end in zip(edge, edge[1:]):
-                if begin < end:
-                    if shard[begin] != now:
-                        now, held, ordinal = shard[begin], 0, 0
-                    own, held, ordinal = _ordinals(size[begin:end], limit, held, ordinal)
-                    ids[begin:end] = own * shards + now
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(batch.column(c) for c in ("seq", "op", "key", "value"))], names=["run_id", "seq", "op", "key", "value"])
+            cells, out = batch.column("cell").to_pylist(), []
+            for i, cell in enumerate(cells):
+                if cell // slices != shard:
+                    shard, held, ordinal = cell // slices, 0, 0
+                out.append((held, ordinal))
+                course = tuple(np.frombuffer(batch.column(c)[i].as_buffer(), dtype="<i8") for c in ("total", "closed", "holds"))
+                held, ordinal = _left(course, limit, held, ordinal)
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))], names=["cell", "held", "ordinal"])
 
     return run
 
 
-def seal(mutations: DataFrame, limit: int, shards: int = 1) -> DataFrame:
+def cuts(log: DataFrame, shards: int = 1) -> list[int]:
+    """Values of seq that part a log of ``shards`` shards into slices of about ``SLICE_BYTES`` each; none for a small log."""
+    size = F.sum(F.octet_length("key") + F.octet_length("value") + ROW_BYTES)
+    grid = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
+    total, at = log.agg(size, F.percentile_approx("seq", grid)).first()
+    slices = min(MAX_SLICES, -(-(total or 0) // (SLICE_BYTES * shards)))
+    return sorted({at[i * MAX_SLICES // slices - 1] for i in range(1, slices)})
+
+
+def seal(mutations: DataFrame, limit: int, shards: int = 1, cut: list[int] | None = None) -> DataFrame:
     """``run_id`` for each mutation: a run is closed before the mutation that would overflow it.
 
-    The sizes of overwritten values count on. Where a run ends depends on where it began, so a
-    shard is folded in order, as a stream of constant memory. ``shards`` splits the keys by hash
-    into logs that are sealed side by side; with 1 the run boundaries are those of one writer.
+    The sizes of overwritten values count on. ``shards`` splits the keys by hash into logs that are
+    sealed side by side; with 1 the run boundaries are those of one writer. Where a run ends depends
+    on where it began, so a shard is cut at the seqs ``cut`` (by its size: ``cuts``) into slices that
+    one task folds each. First each slice tells how it would go on from any state; from that, one
+    short pass over the slices finds the state with which each begins. The result has no trace of the cuts.
     """
+    cut = cuts(mutations, shards) if cut is None else cut
+    slices = len(cut) + 1
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
-    sized = mutations.select(shard.alias("shard"), (F.octet_length("key") + F.octet_length("value")).cast("long").alias("size"), "seq", "op", "key", "value")
-    sized = sized.repartition(shards, "shard").sortWithinPartitions("shard", "seq")
-    return sized.mapInArrow(_segments(limit, shards), "run_id long, seq long, op string, key binary, value binary")
+    size = (F.octet_length("key") + F.octet_length("value")).cast("long")
+    if cut:  # floating point keeps the order, and equal values fall into one slice
+        splits = [-math.inf, *sorted({float(x) for x in cut}), math.inf]
+        slices = len(splits) - 1
+        within = Bucketizer(splits=splits, inputCol="_at", outputCol="_slice")
+        mutations = within.transform(mutations.withColumn("_at", F.col("seq").cast("double")))
+        shard = shard * slices + F.col("_slice").cast("int")
+    sized = mutations.select(shard.alias("cell"), F.lit(None).cast("long").alias("begin"), size.alias("size"), "seq", "op", "key", "value")
+    if cut:
+        courses = _dealt(sized.select("cell", "size", "seq"), shards * slices).mapInArrow(_courses(limit), "cell int, total binary, closed binary, holds binary")
+        entries = courses.repartition(1).sortWithinPartitions("cell").mapInArrow(_entries(limit, slices), "cell int, held long, ordinal long")
+        sized = sized.unionByName(entries.selectExpr("cell", "ordinal as begin", "held as size", f"{-(1 << 63)} as seq"), allowMissingColumns=True)
+    return _dealt(sized, shards * slices).mapInArrow(_segments(limit, shards, slices), "run_id long, seq long, op string, key binary, value binary")
+
+
+def _dealt(sized: DataFrame, cells: int) -> DataFrame:
+    """Each cell in a task of its own, by seq."""
+    return sized.repartitionById(cells, F.col("cell")).sortWithinPartitions("seq")
 
 
 def collapse(sealed: DataFrame) -> DataFrame:

@@ -45,8 +45,13 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return mutations.log(table(spark, d, "events"), F.col("event_id"), codec.text(F.col("user_id")), codec.text(F.col("event_type")), F.col("event_type") == "error")
 
 
+def event_seals(spark: SparkSession, d: str) -> DataFrame:
+    log = events(spark, d)
+    return runs.seal(mutations.accept(log), RUN_LIMIT, cut=runs.cuts(log))
+
+
 def event_runs(spark: SparkSession, d: str) -> DataFrame:
-    return runs.collapse(runs.seal(mutations.accept(events(spark, d)), RUN_LIMIT))
+    return runs.collapse(event_seals(spark, d))
 
 
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +205,7 @@ def merge_two_way(spark: SparkSession, d: str) -> DataFrame:
 
 @register("put_overwrite", f"WITH RECURSIVE {RUNS}, c AS (SELECT run_id, key, count(*) AS puts FROM sealed GROUP BY ALL HAVING count(*) > 1) SELECT run_id, key, value, puts FROM c JOIN rows_ USING (run_id, key)")
 def put_overwrite(spark: SparkSession, d: str) -> DataFrame:
-    sealed = runs.seal(mutations.accept(events(spark, d)), RUN_LIMIT)
+    sealed = event_seals(spark, d)
     return shown(sealed.groupBy("run_id", "key").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("puts")).where("puts > 1"))
 
 
@@ -235,7 +240,7 @@ def mutation_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @register("run_seal", f"WITH RECURSIVE {RUNS} SELECT run_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, CAST(sum(sz) AS BIGINT) AS bytes FROM sealed GROUP BY run_id")
 def run_seal(spark: SparkSession, d: str) -> DataFrame:
-    sealed = mutations.sizes(runs.seal(mutations.accept(events(spark, d)), RUN_LIMIT))
+    sealed = mutations.sizes(event_seals(spark, d))
     return sealed.groupBy("run_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 

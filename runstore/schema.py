@@ -9,6 +9,9 @@ MUTATION = "seq long, op string, key binary, value binary"
 RUN_ROW = "run_id long, key binary, value binary, seq long"
 
 SHARD_RUNS = 16  # runs that one task seals, where the number of shards goes by the log's size
+SLICE_BYTES = 32 << 20  # of a log that one task folds, a mutation counted with ROW_BYTES more
+ROW_BYTES = 64
+MAX_SLICES = 1024  # of a shard; beyond that slices grow
 # Default options and format limits.
 RUN_BYTES = 2 << 20
 BLOCK_BYTES = 4096

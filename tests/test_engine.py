@@ -61,6 +61,48 @@ def test_seal_in_pieces_equals_one_by_one():
         assert got == expected
 
 
+def one_by_one(sizes, limit):
+    out, held, ordinal = [], 0, 0
+    for size in sizes:
+        if held > 0 and held + size > limit:
+            held, ordinal = 0, ordinal + 1
+        held += size
+        out.append(ordinal)
+    return out, held, ordinal
+
+
+def test_courses_of_slices_equal_one_by_one():
+    rng = random.Random(12)
+    for _ in range(400):
+        sizes, limit = [rng.choice([0, 0, 1, 2, 3, 9, 30]) for _ in range(rng.randint(3, 60))], rng.randint(1, 14)
+        edges = [0, *sorted(rng.sample(range(1, len(sizes)), rng.randint(1, min(4, len(sizes) - 1)))), len(sizes)]
+        held, ordinal = 0, 0
+        for a, b in zip(edges, edges[1:]):
+            held, ordinal = runs._left(runs._course(np.array(sizes[a:b], dtype=np.int64), limit), limit, held, ordinal)
+            assert (held, ordinal) == one_by_one(sizes[:b], limit)[1:]
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_sealing_in_slices_leaves_no_trace_and_no_task_with_all_rows(spark, shards):
+    ops = spark.range(6000).selectExpr("id * 7 as seq", "'put' as op", "cast(concat('k', id % 97) as binary) as key", "cast(repeat('v', cast(pmod(hash(id), 9) as int)) as binary) as value").repartition(5)
+    whole, cut = runs.seal(ops, 100, shards, []), runs.seal(ops, 100, shards, [700, 6_999, 7_000, 30_000])
+    show = lambda df: [tuple(r) for r in df.select("seq", "run_id", "op", "key", "value").orderBy("seq").collect()]
+    assert show(whole) == show(cut) and whole.count() == 6000
+    if shards == 1:
+        rows = [(len(r["key"]) + len(r["value"])) for r in ops.orderBy("seq").collect()]
+        assert [r["run_id"] for r in cut.orderBy("seq").collect()] == one_by_one(rows, 100)[0]
+    most = cut.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 3286  # the longest slice
+
+
+def test_cuts_grow_with_the_log(spark, monkeypatch):
+    ops = spark.range(4000).selectExpr("id as seq", "'put' as op", "cast('k' as binary) as key", "cast('v' as binary) as value")
+    assert runs.cuts(ops) == [] == runs.cuts(ops.limit(0))
+    monkeypatch.setattr(runs, "SLICE_BYTES", 40 * 66 * 10)
+    found = runs.cuts(ops)
+    assert len(found) == 9 and all(330 <= b - a <= 470 for a, b in zip([0, *found], found))
+
+
 def test_multi_get_keeps_repeated_and_missing_keys(spark):
     ops = log(spark, ("a", "1"), ("b", "2"), ("b", None), ("a", "3"))
     asked = spark.createDataFrame([(b"a",), (b"a",), (b"b",), (b"c",)], "key binary")
