@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runstore.functions.bounds import Bound, in_range
+from runstore.sources import scratch
 
 FREE = Bound.unbounded()
+PART_BITS = 33  # of the row numbers within a part in Spark's increasing ids
 
 
 def latest(rows: DataFrame, lower: Bound = FREE, upper: Bound = FREE, by: str = "seq") -> DataFrame:
@@ -54,3 +56,19 @@ def merge(*runs: DataFrame) -> DataFrame:
     for run in runs[1:]:
         out = out.unionByName(run.select("key", "value"))
     return out.orderBy("key", "value")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``pos``: the place of each row in the given order, from 1. Rows that are equal in it are not told apart.
+
+    Ranges are sorted side by side. They are kept as a table, since a second run could cut them
+    elsewhere; to a row's place in its range come the rows of the ranges before it.
+    """
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = scratch.keep(ranges, "ordered").withColumn("_range", F.shiftright("_at", PART_BITS)).withColumn("_before", F.lit(0))
+    if len(kept.inputFiles()) > 1:  # one range, of a small table, has none before it
+        sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+        before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+        kept = kept.drop("_before").join(F.broadcast(before), "_range")
+    pos = F.col("_before") + F.col("_at").bitwiseAND((1 << PART_BITS) - 1) + 1
+    return kept.withColumn("pos", pos.cast("int")).select(*rows.columns, "pos")

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runstore.functions import codec
@@ -74,7 +74,7 @@ def shared_folder(spark: SparkSession) -> str:
 def shown(df: DataFrame, *order: str) -> DataFrame:
     """Keys and values as text, and the place of each row in the given order."""
     if order:
-        df = df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+        df = read.numbered(df, *order)
     return df.select(*[codec.decode(F.col(c)).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes])
 
 

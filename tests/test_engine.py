@@ -196,3 +196,20 @@ def test_registered_merges_cover_all_runs(spark):
     rows = sorted((bytes(r["key"]).decode(), bytes(r["value"]).decode()) for r in catalogue.event_runs(spark, d).collect())
     for name in ("merge_disjoint", "merge_overlapping"):
         assert [(r["key"], r["value"]) for r in catalogue.queries()[name](spark, d).orderBy("pos").collect()] == rows
+
+
+def test_places_are_found_range_by_range(spark):
+    from runstore.plans import catalogue
+
+    rows = spark.range(5000).selectExpr("cast(cast(pmod(hash(id), 900) as string) as binary) as key", "cast(cast(id % 3 as string) as binary) as value", "id").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalogue.shown(rows.select("key", "value"), "key", "value")
+        assert "row_number" not in got._jdf.queryExecution().toString()  # which would be one task for all rows
+        assert [(r["key"].encode(), r["value"].encode()) for r in got.orderBy("pos").collect()] == sorted((bytes(r["key"]), bytes(r["value"])) for r in rows.collect())
+        assert sorted(r["pos"] for r in got.collect()) == list(range(1, 5001)) and got.columns == ["key", "value", "pos"] and dict(got.dtypes)["pos"] == "int"
+        kept = read.numbered(rows, "key")
+        assert sorted(r["id"] for r in kept.collect()) == list(range(5000)) and kept.columns == ["key", "value", "id", "pos"]
+        assert catalogue.shown(rows.where("false"), "key").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
