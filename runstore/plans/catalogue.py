@@ -158,7 +158,8 @@ for _name, _lower, _upper in (
 @register("scan_prefix_pages", f"SELECT url AS key, CAST(page_id AS VARCHAR) AS value, {POS.format('encode(url)')} FROM pages WHERE starts_with(url, 'https://')")
 def scan_prefix_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").where(F.col("url").startswith("https://"))
-    return shown(pages.select(codec.text(F.col("url")).alias("key"), codec.text(F.col("page_id")).alias("value")), "key")
+    keyed = pages.select(codec.text(F.col("url")).alias("key"), codec.text(F.col("page_id")).alias("value"), "page_id")
+    return shown(keyed, "key", "page_id").drop("page_id")  # the SQL leaves the order of a repeated url open
 
 
 @register("scan_limit", f"WITH {LATEST} SELECT key, value FROM latest ORDER BY encode(key) LIMIT 10")

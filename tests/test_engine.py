@@ -213,3 +213,12 @@ def test_places_are_found_range_by_range(spark):
         assert catalogue.shown(rows.where("false"), "key").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_pages_of_one_url_are_in_order_of_their_id(spark, tmp_path):
+    from runstore.plans import catalogue
+
+    ids = [30, 4, 100, 7, 9, 2]
+    spark.createDataFrame([(i, f"https://a/{u}") for u in "yxz" for i in ids] + [(1, "http://a/x")], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.queries()["scan_prefix_pages"](spark, str(tmp_path)).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(f"https://a/{u}", str(i), k * 6 + j + 1) for k, u in enumerate("xyz") for j, i in enumerate(sorted(ids))]
