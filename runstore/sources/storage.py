@@ -1,7 +1,7 @@
 """Runs as sorted Parquet files under one folder, and the manifest that lists them.
 
-A run is written to a folder of its own, sorted by key and with a Bloom filter on it; then a new
-manifest, with the next number, makes it visible. Readers take the highest manifest, so a failed
+A run is written to a folder of its own, sorted by key and with a Bloom filter on it; a long run has
+several files, one for each range of keys. Then a new manifest, with the next number, makes it visible. Readers take the highest manifest, so a failed
 write leaves nothing that they see; ``vacuum`` removes what no manifest names. All paths go through
 Hadoop's file systems.
 """
@@ -9,7 +9,11 @@ Hadoop's file systems.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,17 @@ from runstore.schema import BLOCK_BYTES, BLOOM_FPP, RUN_BYTES, RUN_ROW
 
 ROW_GROUP = 8 << 20
 PAIR_BYTES = 48  # of a pair, by which a run's Bloom filter is sized
+FILE_BYTES = 64 << 20  # of the pairs that one task sorts and writes, each with PAIR_BYTES more
+
+
+def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the runs' zones, in constant memory: aggregates by binary keys would sort all rows."""
+    for batch in batches:
+        if batch.num_rows:
+            run_id = batch.column("run_id").to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(run_id)) + 1).tolist(), len(run_id)]
+            parts = [(int(run_id[a]), *(pc.min_max(batch.column("key").slice(a, b - a))[x].as_py() for x in ("min", "max")), b - a, pc.max(batch.column("seq").slice(a, b - a)).as_py()) for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["run_id", "first", "last", "n", "seq"])
 
 
 class RunFolder:
@@ -53,14 +68,19 @@ class RunFolder:
         if not fs.rename(tmp, self._fs(f"{self.path}/manifest/{number:08d}.json")[1]):
             raise RuntimeError("another writer published this manifest")
 
-    def _written(self, run_rows: DataFrame, base: int, run_bytes: int) -> list[dict]:
-        """Write each run of ``run_rows`` (run_id, key, value, seq) in a folder that no run has yet."""
+    def _written(self, run_rows: DataFrame, base: int, run_bytes: int, total: int = 0) -> list[dict]:
+        """Write each run of ``run_rows`` (run_id, key, value, seq) in a folder that no run has yet.
+
+        Of ``total`` bytes, where runs may be long, a task gets a range of runs and keys.
+        """
         batch = f"{self.path}/runs/{base:08d}"
-        rows = run_rows.withColumn("run_id", F.col("run_id") + base).repartition("run_id").sortWithinPartitions("run_id", "key")
+        rows, tasks = run_rows.withColumn("run_id", F.col("run_id") + base), -(-total // FILE_BYTES)
+        rows = (rows.repartitionByRange(tasks, "run_id", "key") if tasks > 1 else rows.repartition("run_id")).sortWithinPartitions("run_id", "key")
         writer = rows.withColumn("run", F.col("run_id")).write.mode("overwrite").partitionBy("run").option("parquet.block.size", self.row_group).option("parquet.page.size", self.page_bytes)
-        entries = max(64, run_bytes // PAIR_BYTES)
+        entries = max(64, max(run_bytes, min(total, FILE_BYTES)) // PAIR_BYTES)
         writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(entries)).option("parquet.bloom.filter.fpp#key", str(BLOOM_FPP)).parquet(batch)
-        zones = self.spark.read.schema(RUN_ROW).parquet(batch).groupBy("run_id").agg(F.hex(F.min("key")).alias("first_key"), F.hex(F.max("key")).alias("last_key"), F.count("*").alias("n_entries"), F.max("seq").alias("last_seq"))
+        parts = self.spark.read.schema(RUN_ROW).parquet(batch).select("run_id", "key", "seq").mapInArrow(_zones, "run_id long, first binary, last binary, n long, seq long")
+        zones = parts.groupBy("run_id").agg(F.hex(F.min("first")).alias("first_key"), F.hex(F.max("last")).alias("last_key"), F.sum("n").alias("n_entries"), F.max("seq").alias("last_seq"))
         out = [r.asDict() | {"path": f"{batch}/run={r['run_id']}"} for r in zones.orderBy("run_id").collect()]
         return [r | {"n_bytes": self.n_bytes(r)} for r in out]
 
@@ -69,10 +89,15 @@ class RunFolder:
         fs, at = self._fs(run["path"])
         return fs.getContentSummary(at).getLength()
 
-    def append(self, run_rows: DataFrame, run_bytes: int = RUN_BYTES) -> None:
-        """Add the runs of ``run_rows``, newest last; empty runs vanish."""
-        known = self.manifest()
-        new = self._written(run_rows, self._next(known), run_bytes)
+    def append(self, run_rows: DataFrame, run_bytes: int = RUN_BYTES, sealed: bool = False) -> None:
+        """Add the runs of ``run_rows``, newest last; empty runs vanish.
+
+        ``sealed`` tells that no run holds more than ``run_bytes``, so that a task can write a run whole.
+        """
+        known, total = self.manifest(), 0
+        if not sealed or run_bytes > FILE_BYTES:
+            total = run_rows.agg(F.sum(F.octet_length("key") + F.octet_length("value") + PAIR_BYTES)).first()[0] or 0
+        new = self._written(run_rows, self._next(known), run_bytes, total)
         if new:
             self._publish(known + new)
 
@@ -111,8 +136,8 @@ class RunFolder:
         newest = rows.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
         if not rest:
             newest = newest.where("octet_length(value) > 0")
-        total = sum(r["n_entries"] for r in known if r["run_id"] in chosen) * PAIR_BYTES
-        new = self._written(newest.select(F.lit(0).cast("long").alias("run_id"), "key", "value", "seq"), self._next(known), total)
+        total = sum(r["n_entries"] * PAIR_BYTES + r["n_bytes"] for r in known if r["run_id"] in chosen)
+        new = self._written(newest.select(F.lit(0).cast("long").alias("run_id"), "key", "value", "seq"), self._next(known), RUN_BYTES, total)
         self._publish(rest + new)
 
     def vacuum(self) -> int:

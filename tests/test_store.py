@@ -94,6 +94,34 @@ def test_scan_crosses_row_groups(spark, tmp_path):
     assert [bytes(r["key"]) for r in folder.read(Bound.included("00029999"), Bound.excluded("00030002")).orderBy("key").collect()] == [b"00029999", b"00030000", b"00030001"]
 
 
+def test_long_runs_are_written_by_ranges(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from runstore.sources import storage
+
+    monkeypatch.setattr(storage, "FILE_BYTES", 20_000 * 88 // 5)
+    folder = RunFolder(spark, f"file://{tmp_path}/kv")
+    rows = spark.range(20_000).selectExpr("id % 2 as run_id", "cast(lpad(cast(id as string), 8, '0') as binary) as key", "cast(md5(cast(id as string)) as binary) as value", "id as seq")
+
+    def spans(run):
+        found = [pq.read_table(f, columns=["key"])["key"].to_pylist() for f in (tmp_path / f"kv/runs/{run['run_id'] if run['run_id'] > 1 else 0:08d}/run={run['run_id']}").glob("*.parquet")]
+        assert all(keys == sorted(keys) for keys in found) and sum(map(len, found)) == run["n_entries"]
+        return sorted((keys[0], keys[-1]) for keys in found)
+
+    folder.append(rows)
+    runs = folder.manifest()
+    assert [(r["run_id"], r["n_entries"], r["last_seq"], bytes.fromhex(r["first_key"]), bytes.fromhex(r["last_key"])) for r in runs] == [(0, 10_000, 19_998, b"00000000", b"00019998"), (1, 10_000, 19_999, b"00000001", b"00019999")]
+    for run in runs:
+        own = spans(run)
+        assert len(own) > 1 and all(a < b for (_, a), (b, _) in zip(own, own[1:]))
+    folder.merge(runs)
+    (run,) = folder.manifest()
+    own = spans(run)
+    assert len(own) > 2 and all(a < b for (_, a), (b, _) in zip(own, own[1:]))
+    assert [bytes(r["key"]) for r in read.scan(folder.read(Bound.included("00009998"), Bound.excluded("00010001"))).collect()] == [b"00009998", b"00009999", b"00010000"]
+    assert folder.read().count() == 20_000
+
+
 def test_shell(spark, tmp_path):
     out = io.StringIO()
     shell = Shell(KVStore.open(spark, StoreOptions(path=f"file://{tmp_path}/kv")), stdout=out, stdin=io.StringIO())
